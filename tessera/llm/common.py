@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +135,8 @@ def probe(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, sizes: Sequ
     real = F.array_join(F.slice("_w", F.col("pos") + 1, F.col("gram_size")), " ") == F.col("_gram")
     hit = F.col("_gram").isNotNull() & real
     return joined.where((F.col("own") == 1) | hit).select("doc_id", "text_hash", F.col("n_words").cast("bigint").alias("n_words"), "own", "pos", "gram_size", *payload)
+
+
+def ship(module: str) -> None:
+    """Send a module's functions to the executors with the job, so that they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
