@@ -1,12 +1,56 @@
-"""The corpus pipeline: stages over documents, each calling one text operator."""
+"""The corpus pipeline: stages over documents, each calling one text operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents; the last adds the mixing pass, block and token count.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import decontaminate, line_templates, mixing, near_duplicates, toxicity
 from tessera.llm.common import stored, table
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject."""
+    return toxicity.reject(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines whose template recurs; a document that has lost all its text goes."""
+    d = line_templates.deduplicate(docs.select(*COLUMNS))
+    cut = F.col("_n_dropped") > 0
+    d = d.where(~cut | (F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return d.withColumn("n_chars", F.when(cut, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_duplicates.keep_one(docs.select(*COLUMNS))
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; documents that are mostly one go."""
+    return decontaminate.remove(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of each pass of the mix."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", remove_benchmarks),
+    ("mixing", mix_sources),
+]
+#: SQL can't express the trained trees or the signatures; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html, licenses, line_templates, pii, quality, toxicity
+from tessera.llm import chat, decontaminate, html, licenses, line_templates, mixing, near_duplicates, pii, quality, toxicity
 from tessera.llm.common import table
 
 
@@ -43,10 +43,18 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.report(table(spark, sf_dir, "documents"))
 
 
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "pass", "block", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_divergence": op2_quality_divergence,
@@ -55,5 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_trees": op5_toxicity_trees,
     "op6_chat_events": op6_chat_events,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_templates": op9_line_templates,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
