@@ -107,6 +107,18 @@ class Stack:
         return np.bincount(self.tile, per_row, len(self.heights))
 
 
+#: The filters that the adaptive choice tries by block type, in order of preference.
+CANDIDATES = {"Smooth": (0, 1, 2, 3, 6, 5), "HighFreq": (15, 5, 4, 13, 14, 7, 8, 9, 10, 11, 12), "Natural": tuple(range(16)), "Mixed": tuple(range(16))}
+
+
+def block_kind(tile: np.ndarray) -> str:
+    """Smooth, Natural, HighFreq or Mixed, from the variances of the regions of a (height, stride) tile."""
+    rh, rw = max(tile.shape[0] // 4, 1), max(tile.shape[1] // 4, 1)
+    var = [float(tile[y : y + rh, x : x + rw].astype(np.float64).var()) for y in range(0, tile.shape[0], rh) for x in range(0, tile.shape[1], rw)]
+    mean, high = round(sum(var) / len(var), 9), sum(round(v, 9) > 100 for v in var)
+    return "Smooth" if mean < 10 else "Natural" if mean < 50 else "HighFreq" if high > len(var) // 3 else "Mixed"
+
+
 def row_entropies(rows: np.ndarray) -> np.ndarray:
     """Shannon entropy of every row of bytes."""
     out = []
@@ -189,29 +201,56 @@ def all_scores(tile: Column, bpp: int = 1, stride: int = 16) -> Column:
     return _lists(run, "array<double>")(tile)
 
 
-def best_payload(data: bytes, stride: int, bpp: int) -> bytes:
-    """The code byte and the residuals of the filter of least entropy; of equals the lowest code."""
-    stack = Stack([np.frombuffer(data, np.uint8)], stride, bpp)
-    options = [stack.residuals(k) for k in range(16)]
-    code = min(range(16), key=lambda k: (round(float(row_entropies(options[k]).sum()), 9), k))
-    return bytes([code]) + options[code].astype(np.uint8).tobytes()
+def choose_codes(stack: Stack, residuals: list[np.ndarray], heuristic: str, level: int = LEVEL) -> list[int]:
+    """The filter code of every tile of a batch; ties as each heuristic has them."""
+    n = len(stack.heights)
+    msad = np.stack([stack.by_tile(r.sum(axis=1, dtype=np.int64)) for r in residuals])
+    if heuristic == "msad":
+        return msad.argmin(axis=0).tolist()
+    if heuristic == "compression_test":
+        sizes = np.array([[len(compress(x.astype(np.uint8).tobytes(), level)[1]) for x in stack.split(r)] for r in residuals])
+        return sizes.argmin(axis=0).tolist()
+    entropy = np.round(np.stack([stack.by_tile(row_entropies(r)) for r in residuals]), 9)
+    if heuristic == "entropy":
+        return entropy.argmin(axis=0).tolist()
+    if heuristic == "quick_prune":
+        orders = [sorted(range(16), key=lambda k: (msad[k, t], k))[:8] for t in range(n)]
+    else:
+        orders = [CANDIDATES[block_kind(x.reshape(-1, stack.stride))] for x in stack.split(stack.rows)]
+    return [min(order, key=lambda k: entropy[k, t]) for t, order in enumerate(orders)]
+
+
+def payloads(tiles: list[bytes], stride: int, bpp: int, heuristic: str = "entropy", level: int = LEVEL) -> list[bytes]:
+    """Code byte and residuals of every tile of a batch (tiles of one stride)."""
+    stack = Stack([np.frombuffer(x, np.uint8) for x in tiles], stride, bpp)
+    residuals = [stack.residuals(k) for k in range(16)]
+    parts = [stack.split(r) for r in residuals]
+    return [bytes([code]) + parts[code][t].astype(np.uint8).tobytes() for t, code in enumerate(choose_codes(stack, residuals, heuristic, level))]
+
+
+def restored(payload: list[bytes], stride: int, bpp: int) -> list[bytes | None]:
+    """Tiles from their payloads (of one stride); None for a code of 16 or more or a broken size."""
+    out: list[bytes | None] = [None] * len(payload)
+    by_code: dict[int, list[int]] = {}
+    for k, p in enumerate(payload):
+        if len(p) > 1 and p[0] < 16 and (len(p) - 1) % stride == 0:
+            by_code.setdefault(p[0], []).append(k)
+    for code, at in by_code.items():
+        for k, v in zip(at, fold([np.frombuffer(payload[k], np.uint8, offset=1) for k in at], code, stride, bpp, True), strict=True):
+            out[k] = v.astype(np.uint8).tobytes()
+    return out
 
 
-def restore(payload: bytes, stride: int, bpp: int) -> bytes:
-    """A tile from its payload; a code of 16 or more, or a broken size, is an error."""
-    code, body = payload[0], payload[1:]
-    if code > 15:
-        raise ValueError(f"unknown filter code {code}")
-    if len(body) % stride:
-        raise ValueError(f"{len(body)} bytes aren't rows of {stride}")
-    r = np.frombuffer(body, np.uint8).reshape(-1, stride)
-    if code == 0:
-        return body
-    if code == 1 and stride % bpp == 0:
-        return np.cumsum(r.reshape(-1, stride // bpp, bpp), axis=1, dtype=np.uint64).astype(np.uint8).tobytes()
-    if code == 2:
-        return np.cumsum(r, axis=0, dtype=np.uint64).astype(np.uint8).tobytes()
-    return fold([r.ravel().astype(np.int32)], code, stride, bpp, True)[0].astype(np.uint8).tobytes()
+def grouped(parts: list[tuple[bytes, int, int]], fn) -> list:
+    """fn(tiles, stride, bpp) over parts of many strides, in their order."""
+    out: list = [None] * len(parts)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (_, stride, bpp) in enumerate(parts):
+        groups.setdefault((stride, bpp), []).append(k)
+    for (stride, bpp), at in groups.items():
+        for k, v in zip(at, fn([parts[k][0] for k in at], stride, bpp), strict=True):
+            out[k] = v
+    return out
 
 
 def bytes_of(values: Column) -> Column:
@@ -225,16 +264,17 @@ def byte_list(data: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(data) - 1).cast("int")), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
 
 
-def _binary(fn):
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else fn(bytes(x))), "binary")
+def _batch(fn):
+    return F.pandas_udf(lambda s: pd.Series(fn([bytes(x) for x in s]), index=s.index, dtype=object), "binary")
 
 
 def filter_tile(data: Column, stride: int, bpp: int) -> Column:
-    return _binary(lambda x: best_payload(x, stride, bpp))(data)
+    return _batch(lambda x: payloads(x, stride, bpp))(data)
 
 
 def unfilter_tile(payload: Column, stride: int, bpp: int) -> Column:
-    return _binary(lambda x: restore(x, stride, bpp))(payload)
+    """Tiles from payloads; null where a payload is broken."""
+    return _batch(lambda x: restored(x, stride, bpp))(payload)
 
 
 def compressed_size(data: Column, level: int = LEVEL) -> Column:

@@ -14,8 +14,7 @@ from tessera.functions.predictors import predict
 from tessera.operators import codec
 from tessera.operators.raster import STRIDE
 
-#: The filters that the adaptive choice tries by block type, in order of preference.
-CANDIDATES = {"Smooth": (0, 1, 2, 3, 6, 5), "HighFreq": (15, 5, 4, 13, 14, 7, 8, 9, 10, 11, 12), "Natural": tuple(range(16)), "Mixed": tuple(range(16))}
+CANDIDATES = codec.CANDIDATES
 PRUNE_TO = 8
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import filter_queries, raster_queries
+from tessera.plans import container_queries, filter_queries, raster_queries
 
-MODULES = (filter_queries, raster_queries)
+MODULES = (filter_queries, raster_queries, container_queries)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _module in MODULES:
