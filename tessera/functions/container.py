@@ -57,6 +57,13 @@ def json_payload(namespace: Column, json: Column) -> Column:
     return F.when(F.octet_length(namespace) <= 255, F.concat(be_bytes(F.octet_length(namespace), 1), namespace.cast("binary"), json.cast("binary")))
 
 
+def valid_json(text: Column) -> Column:
+    """True for one whole JSON value. The parser ignores what follows a value, so the text is also tried inside an
+    array and inside an object, which anything that follows would break."""
+    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
+    return F.try_parse_json(text).isNotNull() & inside("[", "]") & inside('{"x":', "}")
+
+
 def budget(interlace: Column, color_type: Column, width: Column, height: Column, row_bytes: Column) -> Column:
     """The most bytes that the image data of a file may unpack to."""
     px = width.cast("bigint") * height.cast("bigint")

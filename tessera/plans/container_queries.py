@@ -85,7 +85,7 @@ def meta_json(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 11 == 0, F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
     rows = e.select(F.col("user_id").alias("img_id"), F.col("event_type").alias("namespace"), "event_id", text.alias("json"))
-    good = rows.where(F.try_parse_json("json").isNotNull())
+    good = rows.where(K.valid_json(F.col("json")))
     return good.groupBy("img_id", "namespace").agg(F.max_by("json", "event_id").alias("json"))
 
 
