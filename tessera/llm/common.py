@@ -75,6 +75,18 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, `_row`, so that an operator's own columns can't clash with a table's."""
+    return F.struct(*df.columns).alias("_row")
+
+
+def unpacked(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of `like` out of `_row`; a changed one takes its new value where that isn't null, `text` always."""
+    row = lambda c: F.col("_row").getField(c)
+    new = lambda c: changed[c] if c == "text" else F.coalesce(changed[c], row(c))
+    return df.select(*[(new(c) if c in changed else row(c)).alias(c) for c in like.columns])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once: a lambda's variable, which the optimizer doesn't inline."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gram_rows, hex_sha256, let, probe
+from tessera.llm.common import gram_rows, hex_sha256, let, probe, unpacked, whole_row
 
 WINDOW = 10
 
@@ -81,10 +81,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_share:
     """
     found = scan(docs, benchmark, size=size).where(F.size("spans") > 0)
     bad = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"), (covered(F.col("spans")) / F.col("n_words") > max_share).alias("_gone"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text"), F.char_length("text")))
-    joined = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_hash"]), "left").where(~F.coalesce("_gone", F.lit(False)))
-    raw_words = F.array_remove(F.split("text", NOT_WORD_RAW, -1), "")
-    seps = F.split("text", WORD_RAW, -1)  # one more than the words
+    keyed = docs.select(whole_row(docs), F.col("doc_id").alias("_of"), F.col("text").alias("_text"), F.xxhash64(F.col("text"), F.char_length("text")).alias("_key"))
+    joined = keyed.join(bad, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left").where(~F.coalesce("_gone", F.lit(False)))
+    raw_words = F.array_remove(F.split("_text", NOT_WORD_RAW, -1), "")
+    seps = F.split("_text", WORD_RAW, -1)  # one more than the words
 
     def rebuilt(parts):
         w, sep = parts["w"], parts["sep"]
@@ -96,10 +96,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_share:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.size(w)), piece), "")
 
     cut = let(F.struct(raw_words.alias("w"), seps.alias("sep")), rebuilt)
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = joined.withColumn("_text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("_text")))
+    n_chars = F.when(F.col("_spans").isNotNull(), F.char_length("_text").cast("bigint"))
+    return unpacked(out, docs, text=F.col("_text"), n_chars=n_chars)
 
 
 __all__ = ["WINDOW", "benchmark_windows", "covered", "remove", "report", "scan"]

@@ -12,7 +12,8 @@ document with the smallest id stays, so that copies lose a passage but the corpu
 
 Defined cases: a null or empty text has no lines and stays; a null doc_id counts as one document, smaller than all
 others; rows with one doc_id count as one document; lines that recur inside one document only stay; equal rows get equal
-decisions; a text whose lines all go becomes empty; columns other than doc_id, text and n_chars pass through.
+decisions; a text whose lines all go becomes empty; columns other than text and n_chars
+pass through, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, let, stored
+from tessera.llm.common import SPACE, let, stored, whole_row
 
 LEAD, QUARTERS, VARY_TOKENS = 3, 4, 16
 MIN_DOCS, MIN_TOKENS, SHORT_DOCS, SHORT_TOKENS = 2, 8, 10, 4
@@ -67,18 +68,23 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
-    """docs with the text without its dropped lines, and _n_lines, _n_dropped (0 where nothing went)."""
-    drops = dropped_lines(docs, doc_id, text, **limits).select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    key = (F.coalesce(F.col(doc_id), F.lit(NO_ID)) == F.col("_doc")) & (F.xxhash64(F.col(text), F.char_length(text)) == F.col("_hash"))
-    joined = docs.join(drops, key, "left")
-    all_lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    out = joined.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("bigint")).withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"))
-    out = out.withColumn("_n_dropped", F.greatest("_n_dropped", F.lit(0).cast("bigint")))
-    return out.withColumn(text, F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col(text))).select(*docs.columns, "_n_lines", "_n_dropped")
+    """docs with the text without its dropped lines, n_chars (if there) with it, and n_lines and n_dropped, which
+    replace columns of these names."""
+    drops = dropped_lines(docs, doc_id, text, **limits)
+    keyed = docs.select(whole_row(docs), F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text), F.char_length(text)).alias("_hash"))
+    joined = keyed.join(drops, (F.col("_id") == F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left")
+    all_lines = F.split("_text", "\n", -1)
+    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    cut = F.col("drop").isNotNull()
+    d = joined.withColumn("_new", F.when(cut, kept).otherwise(F.col("_text")))
+    values = {c: F.col("_row").getField(c) for c in docs.columns if c not in ("n_lines", "n_dropped")} | {text: F.col("_new")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(cut, F.char_length("_new").cast("bigint")).otherwise(values["n_chars"])
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint")
+    n_dropped = F.when(cut, F.size("drop")).otherwise(0).cast("bigint")
+    return d.select(*[v.alias(c) for c, v in values.items()], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, text: every document with what the operator leaves of it."""
-    d = deduplicate(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    return d.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+    return deduplicate(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "n_lines", "n_dropped", "text")

@@ -12,7 +12,8 @@ only block sums are accumulated in order, and documents only inside one block of
 
 Defined cases: a null source is the source ''; texts without tokens belong to their source and weigh nothing (they are
 in every whole pass); a corpus without tokens comes back once as it is; equal rows are documents of their own, in the
-same block; an empty table gives no rows; columns that are there already pass through.
+same block; an empty table gives no rows; columns pass through, but for pass, block and n_tokens,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, stored
+from tessera.llm.common import small, stored, whole_row
 
 TARGET_ENTROPY, MAX_REPEATS, STEPS = 0.95, 4.0, 30
 BLOCK_TOKENS, BUDGET_SHARE = 200_000, 1.0
@@ -84,7 +85,7 @@ def plan(sources: DataFrame, a: float, budget: float) -> DataFrame:
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget_share: float = BUDGET_SHARE) -> DataFrame:
     """docs, each row once for each pass that takes it, with pass (from 0), block and n_tokens."""
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    own = docs.withColumns({"_source": F.coalesce(F.col(source), F.lit("")), "_tokens": n_tokens(F.col(text)), "_name": name, "_h": digest(name)})
+    own = docs.select(whole_row(docs), F.coalesce(F.col(source), F.lit("")).alias("_source"), n_tokens(F.col(text)).alias("_tokens"), name.alias("_name"), digest(name).alias("_h"))
     counted = stored(own.select("_source", "_name", "_h", "_tokens"), "tokens")
     sources = stored(counted.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens")), "sources")
     n_sources, total = sources.agg(F.count("*"), F.sum("tokens")).first()
@@ -108,4 +109,5 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     inside_cut = F.coalesce(F.struct("_h", "_name") <= F.col("cut"), F.lit(False))
     taken = (F.col("left_over") > 0) & ((F.col("left_over") >= F.col("inside")) | inside_cut)
     d = d.withColumn("_times", F.col("passes") + taken.cast("bigint")).where("_times > 0")
-    return d.select(*[d[c] for c in docs.columns], F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)).alias("pass"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("pass", "block", "n_tokens")]
+    return d.select(*kept, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)).alias("pass"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"))

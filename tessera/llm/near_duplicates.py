@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, ship, small, stored
+from tessera.llm.common import discard, ship, small, stored, unpacked, whole_row
 
 ship(__name__)
 SHINGLE, THRESHOLD = 5, 0.8
@@ -287,7 +287,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     _, texts = classes(docs)
     keep = texts.select(F.col("class.doc_id").alias("_id"), F.col("class.h1").alias("_h1"), F.col("class.h2").alias("_h2")).distinct()
     t = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_a", F.xxhash64(t)).withColumn("_b", F.hash(t))
-    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_a"] == keep["_h1"]) & (keyed["_b"] == keep["_h2"]), "left_semi")
+    keyed = docs.select(whole_row(docs), F.col("doc_id").alias("_of"), F.xxhash64(t).alias("_a"), F.hash(t).alias("_b"))
+    kept = keyed.join(keep, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_h1")) & (F.col("_b") == F.col("_h2")), "left_semi")
     # rows that are equal in id and text: one stays
-    return kept.dropDuplicates(["doc_id", "_a", "_b"]).select(*docs.columns)
+    return unpacked(kept.dropDuplicates(["_of", "_a", "_b"]), docs)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, hex_sha256, let, small, stored
+from tessera.llm.common import SPACE, hex_sha256, let, small, stored, unpacked, whole_row
 
 #: The kinds in report order and their patterns. Each is its plain form made linear: a run is entered
 #: at its start or where the match before ended, and never given back.
@@ -165,9 +165,10 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     Rows are matched by (doc_id, text), so that rows with one id and different texts keep their own spans.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(t, F.char_length(t)).alias("h")))
-    spans = extract(keyed, "_key", text).where((F.size("base") > 0) | (F.size("new") > 0)).groupBy(F.col("doc_id").alias("_of")).agg(F.first(F.array_sort(F.concat("base", "new"), lambda a, b: a["start"] - b["start"])).alias("_spans"))
+    keyed = docs.select(whole_row(docs), F.struct(F.col(doc_id).alias("id"), F.xxhash64(t, F.char_length(t)).alias("h")).alias("_key"), F.col(text).alias("text"))
+    spans = extract(keyed, "_key", "text").where((F.size("base") > 0) | (F.size("new") > 0)).groupBy(F.col("doc_id").alias("_of")).agg(F.first(F.array_sort(F.concat("base", "new"), lambda a, b: a["start"] - b["start"])).alias("_spans"))
     joined = keyed.join(spans, F.col("_key").eqNullSafe(F.col("_of")), "left")
+    t = F.col("text")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k, _ in KINDS], F.lit(f"[{ID.upper()}]"))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
@@ -175,4 +176,4 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])).alias("out"))).otherwise(a),
         lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))),
     )
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text))).select(*docs.columns)
+    return unpacked(joined, docs, **{text: F.when(F.col("_spans").isNotNull(), cut).otherwise(t)})
