@@ -23,9 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines whose template recurs; a document that has lost all its text goes."""
     d = line_templates.deduplicate(docs.select(*COLUMNS))
-    cut = F.col("_n_dropped") > 0
-    d = d.where(~cut | (F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return d.withColumn("n_chars", F.when(cut, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return d.where((F.col("n_dropped") == 0) | (F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != "")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
