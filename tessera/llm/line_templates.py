@@ -18,39 +18,49 @@ pass through, but for n_lines and n_dropped, which are replaced.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, let, stored, whole_row
+from tessera.llm.common import stored, whole_row
 
 LEAD, QUARTERS, VARY_TOKENS = 3, 4, 16
 MIN_DOCS, MIN_TOKENS, SHORT_DOCS, SHORT_TOKENS = 2, 8, 10, 4
 NO_ID = -(2**63)
 
 
-def line_keys(line: Column) -> Column:
-    """(n, keys): the token count of a line and the keys of its templates; key 0 is the fully specified one."""
-    masked = F.regexp_replace(line, F.lit(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"), F.lit("<*>"))
-    toks = F.array_remove(F.split(masked, SPACE, -1), "")
-
-    def keys(t: Column) -> Column:
-        n = F.size(t)
-        lead = F.xxhash64(F.slice(t, 1, LEAD))
-        width = F.greatest(F.ceil((n - LEAD) / QUARTERS).cast("int"), F.lit(1))
-        part = lambda k: F.xxhash64(F.slice(t, LEAD + 1 + width * k, width), F.lit(k))
-        whole = let(F.array(*[part(k) for k in range(QUARTERS)]), lambda p: F.concat(
-            F.array(F.xxhash64(n, lead, p, F.lit(-1))),
-            F.when(n >= VARY_TOKENS, F.array(*[F.xxhash64(n, lead, *[F.get(p, j) for j in range(QUARTERS) if j != k], F.lit(k)) for k in range(QUARTERS)])).otherwise(F.array().cast("array<bigint>")),
-        ))
-        return F.struct(n.alias("n"), whole.alias("keys"))
-
-    return let(toks, keys)
-
-
-def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", short_tokens: int = SHORT_TOKENS) -> DataFrame:
-    """doc, text_hash, line (from 0), n, keys: a row per line of at least short_tokens tokens."""
-    d = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text), F.char_length(text)).alias("text_hash"), F.posexplode(F.transform(F.split(F.col(text), "\n", -1), line_keys)).alias("line", "k"))
-    return d.select("doc", "text_hash", "line", "k.n", "k.keys").where(F.col("n") >= short_tokens)
+#: A token with a digit, entered at its start only.
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
+
+
+def masked(text: Column) -> Column:
+    """The text with <*> for tokens with a digit and one plain space between the tokens of a line; most texts need
+    none of the passes, which plain searches show."""
+    has = lambda t, *parts: functools.reduce(operator.or_, [F.contains(t, F.lit(p)) for p in parts])
+    plain = F.when(has(text, "\t", "\r", "\x0b", "\x0c"), F.regexp_replace(text, F.lit(OTHER_SPACE), F.lit(" "))).otherwise(text)
+    loose = has(plain, "  ", "\n ", " \n") | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
+    single = F.when(loose, F.regexp_replace(F.regexp_replace(plain, F.lit(" +"), F.lit(" ")), F.lit("(?m)^ | $"), F.lit(""))).otherwise(plain)
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, F.lit(VARIABLE), F.lit("<*>"))).otherwise(single)
+
+
+def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, text_hash, line (from 0), n (tokens), keys: a row per line of at least SHORT_TOKENS tokens; key 0 is the
+    fully specified template.
+
+    Lines are exploded first, so that everything about a line is plain columns of compiled code.
+    """
+    d = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text), F.char_length(text)).alias("text_hash"), F.split(masked(F.col(text)), "\n", -1).alias("lines"))
+    d = d.select("doc", "text_hash", F.posexplode_outer("lines").alias("line", "l"))
+    d = d.select("doc", "text_hash", "line", F.split("l", " ", -1).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= SHORT_TOKENS)
+    width = F.greatest(F.ceil((F.col("n") - LEAD) / QUARTERS).cast("int"), F.lit(1))
+    parts = [F.xxhash64(F.slice("t", width * k + (LEAD + 1), width), F.lit(k)).alias(f"p{k}") for k in range(QUARTERS)]
+    d = d.select("doc", "text_hash", "line", "n", F.xxhash64(F.slice("t", 1, LEAD)).alias("lead"), *parts)
+    whole = F.xxhash64("n", "lead", *[f"p{k}" for k in range(QUARTERS)], F.lit(-1))
+    but = [F.xxhash64("n", "lead", *[f"p{j}" for j in range(QUARTERS) if j != k], F.lit(k)) for k in range(QUARTERS)]
+    return d.select("doc", "text_hash", "line", "n", F.when(F.col("n") >= VARY_TOKENS, F.array(whole, *but)).otherwise(F.array(whole)).alias("keys"))
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
