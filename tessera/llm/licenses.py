@@ -18,7 +18,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gram_rows, probe
+from tessera.llm.common import gram_rows, probe, stored
 
 K = 3
 #: The base phrases and their labels.
@@ -91,7 +91,7 @@ def spans(by_diagonal: DataFrame, k: int = K) -> DataFrame:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
-    by_diagonal = votes(docs, doc_id, text, phrases, templates, k)
+    by_diagonal = stored(votes(docs, doc_id, text, phrases, templates, k), "votes")  # read twice, made once
     key = ["doc_id", "text_hash", "n_words"]
     found = spans(by_diagonal, k).select(*key, F.struct("label", "base", "start", "end", "cover", "verified", "exact_first", "exact_last", "n_exact").alias("span"), F.lit(0).cast("bigint").alias("copies"))
     own = by_diagonal.where(F.col("tpl").isNull()).select(*key, F.lit(None).cast(found.schema["span"].dataType).alias("span"), "copies")
