@@ -120,14 +120,18 @@ def block_kind(tile: np.ndarray) -> str:
 
 
 def row_entropies(rows: np.ndarray) -> np.ndarray:
-    """Shannon entropy of every row of bytes."""
-    out = []
-    for k in range(0, len(rows), 4096):
-        part = rows[k : k + 4096]
-        n = np.bincount((np.arange(len(part))[:, None] * 256 + part).ravel(), minlength=len(part) * 256).reshape(-1, 256)
-        p = n / part.shape[1]
-        out.append(-(p * np.log2(np.where(n > 0, p, 1.0))).sum(axis=1))
-    return np.concatenate(out) if out else np.zeros(0)
+    """Shannon entropy of every row of bytes, from the run lengths of the sorted rows."""
+    if not rows.size:
+        return np.zeros(len(rows))
+    n = rows.shape[1]
+    ordered = np.sort(rows.astype(np.uint8), axis=1)
+    first = np.ones(ordered.shape, bool)
+    first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    starts = np.flatnonzero(first.ravel())
+    runs = np.diff(np.append(starts, ordered.size))
+    share = np.arange(n + 1) / n
+    bits = np.concatenate([[0.0], -share[1:] * np.log2(share[1:])])
+    return np.bincount(starts // n, bits[runs], len(rows))
 
 
 def fold(tiles: list[np.ndarray], code: int, stride: int, bpp: int, inverse: bool) -> list[np.ndarray]:
@@ -164,8 +168,9 @@ def fold(tiles: list[np.ndarray], code: int, stride: int, bpp: int, inverse: boo
 
 
 def _lists(fn, kind: str):
-    """An Arrow function from array<int> tiles to one value a tile, given all tiles of a batch at once."""
-    return F.pandas_udf(lambda s: pd.Series(fn([np.asarray(x, np.int32) for x in s]), index=s.index, dtype=object), kind)
+    """An Arrow function from tiles (binary or array<int>) to one value a tile, given all tiles of a batch at once."""
+    read = lambda x: np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.asarray(x, np.int32)
+    return F.pandas_udf(lambda s: pd.Series(fn([read(x) for x in s]), index=s.index, dtype=object), kind)
 
 
 def weighted_residuals(tile: Column, bpp: int = 1, stride: int = 16) -> Column:
@@ -177,14 +182,25 @@ def unfilter(residual: Column, code: int, bpp: int = 1, stride: int = 16) -> Col
 
 
 def all_residuals(tile: Column, bpp: int = 1, stride: int = 16) -> Column:
-    """array of 16 residual arrays, by code."""
+    """array<int>: the residuals under all 16 filters, one after the other."""
 
     def run(tiles):
         stack = Stack(tiles, stride, bpp)
         by_code = [stack.split(stack.residuals(k)) for k in range(16)]
-        return [[by_code[k][t].tolist() for k in range(16)] for t in range(len(tiles))]
+        return [np.concatenate([r[t] for r in by_code]).astype(np.int32) for t in range(len(tiles))]
 
-    return _lists(run, "array<array<int>>")(tile)
+    return _lists(run, "array<int>")(tile)
+
+
+def all_restored(residuals: Column, bpp: int = 1, stride: int = 16) -> Column:
+    """array<int>: the bytes that each of the 16 parts of all_residuals stands for, one after the other."""
+
+    def run(flat):
+        parts = [np.split(x, 16) for x in flat]
+        back = [fold([p[k] for p in parts], k, stride, bpp, True) for k in range(16)]
+        return [np.concatenate([b[t] for b in back]) for t in range(len(flat))]
+
+    return _lists(run, "array<int>")(residuals)
 
 
 def all_scores(tile: Column, bpp: int = 1, stride: int = 16) -> Column:

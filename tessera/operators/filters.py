@@ -18,28 +18,24 @@ CANDIDATES = codec.CANDIDATES
 PRUNE_TO = 8
 
 
-def _at(arr: Column, i: Column) -> Column:
-    """The element at i, 0 outside the array."""
-    return F.coalesce(F.get(arr, i), F.lit(0))
-
-
-def row_residuals(code: int, bpp: int = 1, stride: int = STRIDE) -> Column:
-    """array<int>: residuals of a row (columns cur, up, up2) under a stateless predictor."""
-    cur, up, up2 = F.col("cur"), F.col("up"), F.col("up2")
-
-    def residual(v: Column, i: Column) -> Column:
-        d = F.when(i + bpp < stride, _at(up, i + bpp)).otherwise(F.lit(0))
-        p = predict(code, _at(cur, i - bpp), _at(up, i), _at(up, i - bpp), d, _at(cur, i - 2 * bpp), _at(up2, i))
-        return (v - p).bitwiseAND(255)
-
-    return F.transform(cur, residual)
-
-
-def entropy(values: Column) -> Column:
-    """Shannon entropy in bits of an array; 0 if empty. A value's share is counted once per element."""
-    n = F.size(values)
-    share = lambda x: (n - F.size(F.array_remove(values, x))) / n
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(F.transform(values, lambda x: -F.log2(share(x)) / n), F.lit(0.0), lambda s, x: s + x))
+def neighbours(tiles: DataFrame, bpp: int = 1, stride: int = STRIDE) -> DataFrame:
+    """img_id, i, y, x, v and the neighbours a, b, c, d, ll, uu of every byte: index arithmetic on the tile's array in
+    compiled code, without a window."""
+    t = tiles.select("img_id", F.col("v").alias("tile"), F.posexplode("v").alias("i", "v"))
+    i = F.col("i")
+    x = i % stride
+    at = lambda k, ok: F.when(ok & (i >= k), F.get("tile", F.greatest(i - k, F.lit(0)))).otherwise(F.lit(0))
+    yes = F.lit(True)
+    return t.select(
+        "img_id", "i", F.floor(i / stride).cast("int").alias("y"), x.alias("x"), "v", at(bpp, x >= bpp).alias("a"), at(stride, yes).alias("b"), at(stride + bpp, x >= bpp).alias("c"),
+        at(stride - bpp, (x + bpp < stride) & (i >= stride)).alias("d"), at(2 * bpp, x >= 2 * bpp).alias("ll"), at(2 * stride, yes).alias("uu"),
+    )
+
+
+def residuals(cells: DataFrame, code: int) -> DataFrame:
+    """img_id, i, y, x, r: what a stateless predictor leaves of every byte, from cells with neighbours."""
+    p = predict(code, *[F.col(c) for c in ("a", "b", "c", "d", "ll", "uu")])
+    return cells.select("img_id", "i", "y", "x", (F.col("v") - p).bitwiseAND(255).alias("r"))
 
 
 def total(values: Column) -> Column:
@@ -48,8 +44,8 @@ def total(values: Column) -> Column:
 
 def residual_tiles(tiles: DataFrame, bpp: int = 1, stride: int = STRIDE) -> DataFrame:
     """img_id, code, res: the residuals of every tile under all 16 filters, as one array per tile and code."""
-    t = tiles.select("img_id", codec.all_residuals(F.col("v"), bpp, stride).alias("r"))
-    return t.select("img_id", F.posexplode("r").alias("code", "res"))
+    t = tiles.select("img_id", F.octet_length("data").alias("n"), codec.all_residuals(F.col("data"), bpp, stride).alias("r"))
+    return t.select("img_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("r", k * F.col("n") + 1, F.col("n")))).alias("code", "res"))
 
 
 def rows_of(values: Column, stride: int = STRIDE) -> Column:
@@ -61,7 +57,7 @@ def scores(tiles: DataFrame, bpp: int = 1, stride: int = STRIDE) -> DataFrame:
 
     No shuffle: a batch of tiles is scored as arrays where it is, and only numbers leave.
     """
-    t = tiles.select("img_id", codec.all_scores(F.col("v"), bpp, stride).alias("s"))
+    t = tiles.select("img_id", codec.all_scores(F.col("data"), bpp, stride).alias("s"))
     triples = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct(k.alias("code"), F.get("s", k * 2).cast("bigint").alias("msad"), F.round(F.get("s", k * 2 + 1), 9).alias("entropy")))
     return t.select("img_id", F.inline(triples))
 

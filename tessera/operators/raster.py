@@ -15,11 +15,13 @@ def byte_values(data: Column) -> Column:
 
 
 def document_tiles(docs: DataFrame, stride: int = STRIDE, size: int = TILE_BYTES) -> DataFrame:
-    """img_id, v: the first bytes of every text as one tile of whole rows; texts under one row have none."""
+    """img_id, data, v: the first bytes of every text as one tile of whole rows, as binary and as array<int>; texts
+    under one row have none. Whoever reads only one of the two forms pays for that one."""
     data = F.substring(F.encode(F.substring("text", 1, size), "UTF-8"), 1, size)
-    d = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("img_id"), byte_values(data).alias("v"))
-    n = F.size("v") - F.pmod(F.size("v"), F.lit(stride))
-    return d.where(F.size("v") >= stride).select("img_id", F.slice("v", F.lit(1), n).alias("v"))
+    d = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("img_id"), data.alias("d"))
+    n = F.octet_length("d") - F.octet_length("d") % stride
+    d = d.where(F.octet_length("d") >= stride).select("img_id", F.substring("d", F.lit(1), n).alias("data"))
+    return d.select("img_id", "data", byte_values(F.col("data")).alias("v"))
 
 
 def tile_rows(tiles: DataFrame, stride: int = STRIDE) -> DataFrame:

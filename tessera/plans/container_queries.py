@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import container as K
 from tessera.functions.color import bytes_per_pixel
-from tessera.operators import codec
+from tessera.operators import codec, raster
 from tessera.plans import lifecycle as L
 from tessera.plans.filter_queries import cells_sql, checksum, tiles
 from tessera.plans.options import EncodeOptions
@@ -20,9 +20,9 @@ from tessera.streaming import chunks as S
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img_id, width 8, height, RGBA pixels: rows of 32 bytes of the document tiles."""
-    t = tiles(spark, sf_dir).where(F.size("v") >= 32)
-    rows = F.floor(F.size("v") / 32).cast("int")
-    return t.select("img_id", F.lit(8).alias("width"), rows.alias("height"), codec.bytes_of(F.slice("v", F.lit(1), rows * 32)).alias("pixels"))
+    t = tiles(spark, sf_dir).where(F.octet_length("data") >= 32)
+    rows = F.floor(F.octet_length("data") / 32).cast("int")
+    return t.select("img_id", F.lit(8).alias("width"), rows.alias("height"), F.substring("data", F.lit(1), rows * 32).alias("pixels"))
 
 
 #: img_id, height, byte_check of the images, in SQL.
@@ -30,7 +30,7 @@ IMAGES = cells_sql() + ", im AS (SELECT img_id, CAST(n // 32 AS BIGINT) AS heigh
 
 
 def pixel_check(column: str = "pixels"):
-    return checksum(codec.byte_list(F.col(column)))
+    return checksum(raster.byte_values(F.col(column)))
 
 
 def decoded(d: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def budget_used(spark, sf_dir):
 
 def compress_fallback(spark, sf_dir):
     """Blocks compressed and unpacked again: the flag says which is smaller, the bytes come back."""
-    t = tiles(spark, sf_dir).select("img_id", codec.bytes_of(F.col("v")).alias("raw"))
+    t = tiles(spark, sf_dir).select("img_id", F.col("data").alias("raw"))
     c = t.select("img_id", "raw", codec.compress_block(F.col("raw")).alias("c"))
     b = c.select("img_id", "raw", "c", codec.decompress_block(F.col("c.flag"), F.col("c.data"), F.octet_length("raw")).alias("d"))
     kept = F.when(F.col("c.flag") == 1, F.octet_length("c.data") < F.octet_length("raw")).otherwise(F.col("c.data") == F.col("raw"))
@@ -205,7 +205,7 @@ SAMPLE_DICTIONARY = b"".join(bytes([65 + k % 26, 97 + k % 26, 32]) * 3 for k in
 
 
 def compress_fallback_dict(spark, sf_dir):
-    t = tiles(spark, sf_dir).select("img_id", codec.bytes_of(F.col("v")).alias("raw"))
+    t = tiles(spark, sf_dir).select("img_id", F.col("data").alias("raw"))
     c = t.select("img_id", "raw", codec.compress_block(F.col("raw"), dictionary=SAMPLE_DICTIONARY).alias("c"))
     b = c.select("img_id", "raw", codec.decompress_block(F.col("c.flag"), F.col("c.data"), F.octet_length("raw"), dictionary=SAMPLE_DICTIONARY).alias("d"))
     return b.select("img_id", (F.col("d.data") == F.col("raw")).alias("same"))
@@ -213,7 +213,7 @@ def compress_fallback_dict(spark, sf_dir):
 
 def decompress_limited(spark, sf_dir):
     """Blocks against limits: enough, one byte short, and an unknown flag."""
-    t = tiles(spark, sf_dir).select("img_id", codec.bytes_of(F.col("v")).alias("raw"))
+    t = tiles(spark, sf_dir).select("img_id", F.col("data").alias("raw"))
     c = t.select("img_id", "raw", codec.compress_block(F.col("raw")).alias("c"))
     n = F.octet_length("raw")
     flag, limit = F.when(F.col("img_id") % 3 == 2, 9).otherwise(F.col("c.flag")), F.when(F.col("img_id") % 3 == 1, n - 1).otherwise(n)
@@ -222,7 +222,7 @@ def decompress_limited(spark, sf_dir):
 
 def train_dictionary(spark, sf_dir):
     t = tiles(spark, sf_dir)
-    rows = t.select((F.col("img_id") % 8).alias("img_id"), F.floor(F.col("img_id") / 8).cast("int").alias("seq"), codec.bytes_of(F.col("v")).alias("data"))
+    rows = t.select((F.col("img_id") % 8).alias("img_id"), F.floor(F.col("img_id") / 8).cast("int").alias("seq"), F.col("data"))
     return codec.train_dictionaries(rows).select("img_id", F.col("dictionary").isNotNull().alias("trained"), F.octet_length("dictionary").alias("n"))
 
 

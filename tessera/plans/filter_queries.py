@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.predictors import NAMES, WEIGHTED, reweighted, weighted
 from tessera.operators import codec, filters, raster
-from tessera.plans.tables import table
+from tessera.plans.tables import spread, table
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.document_tiles(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, raster.TILE_BYTES).alias("text"))
+    return raster.document_tiles(spread(docs))
 
 
 def checksum(values):
@@ -78,8 +79,8 @@ def scores_sql(bpp: int = 1) -> str:
 
 def predictor(code: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = raster.tile_rows(tiles(spark, sf_dir)).select("img_id", "y", filters.row_residuals(code).alias("r"))
-        return rows.select("img_id", "y", filters.total(F.col("r")).alias("res_sum"), checksum(F.col("r")).alias("res_check"))
+        r = filters.residuals(filters.neighbours(tiles(spark, sf_dir)), code)
+        return r.groupBy("img_id", "y").agg(F.sum("r").alias("res_sum"), F.sum((F.col("x") + 1).cast("bigint") * F.col("r")).alias("res_check"))
 
     return run
 
@@ -89,22 +90,29 @@ def predictor_sql(code: int) -> str:
 
 
 def pred_weighted(spark, sf_dir):
-    t = tiles(spark, sf_dir).select("img_id", codec.weighted_residuals(F.col("v")).alias("r"))
+    t = tiles(spark, sf_dir).select("img_id", codec.weighted_residuals(F.col("data")).alias("r"))
     return t.select("img_id", filters.total(F.col("r")).alias("res_sum"), checksum(F.col("r")).alias("res_check"))
 
 
+def by_code(flat: DataFrame, total: str, check: str) -> DataFrame:
+    """img_id, code and the sums of the 16 parts of `r` (n values each): exploded and summed in compiled code."""
+    e = flat.select("img_id", "n", F.posexplode("r").alias("k", "r"))
+    e = e.select("img_id", F.floor(F.col("k") / F.col("n")).cast("int").alias("code"), (F.col("k") % F.col("n") + 1).cast("bigint").alias("place"), "r")
+    return e.groupBy("img_id", "code").agg(F.sum("r").alias(total), F.sum(F.col("place") * F.col("r")).alias(check))
+
+
+def all_residuals(spark, sf_dir, bpp: int) -> DataFrame:
+    return tiles(spark, sf_dir).select("img_id", F.octet_length("data").alias("n"), codec.all_residuals(F.col("data"), bpp=bpp).alias("r"))
+
+
 def filter_block(spark, sf_dir):
-    t = filters.residual_tiles(tiles(spark, sf_dir), bpp=4)
-    return t.select("img_id", "code", filters.total(F.col("res")).alias("res_sum"), checksum(F.col("res")).alias("res_check"))
+    return by_code(all_residuals(spark, sf_dir, 4), "res_sum", "res_check")
 
 
 def unfilter_row(spark, sf_dir):
     """Every filter's residuals turned back: the sums are those of the bytes themselves."""
-    t = tiles(spark, sf_dir).select("img_id", codec.all_residuals(F.col("v"), bpp=2).alias("r"))
-    # one pass of Python for all 16 inverses
-    t = t.select("img_id", F.posexplode(F.array(*[codec.unfilter(F.get("r", F.lit(k)), k, bpp=2) for k in range(16)])).alias("code", "v"))
-    back = t
-    return back.select("img_id", "code", filters.total(F.col("v")).alias("byte_sum"), checksum(F.col("v")).alias("byte_check"))
+    back = all_residuals(spark, sf_dir, 2).select("img_id", "n", codec.all_restored(F.col("r"), bpp=2).alias("r"))
+    return by_code(back, "byte_sum", "byte_check")
 
 
 def _state(x):
@@ -133,13 +141,13 @@ def weighted_update(spark, sf_dir):
 
 
 def filter_row_weighted(spark, sf_dir):
-    t = tiles(spark, sf_dir).select("img_id", codec.weighted_residuals(F.col("v"), bpp=3).alias("w"))
+    t = tiles(spark, sf_dir).select("img_id", codec.weighted_residuals(F.col("data"), bpp=3).alias("w"))
     t = t.select("img_id", F.explode(F.transform(filters.rows_of(F.col("w")), lambda r, y: F.struct(y.alias("y"), r.alias("r")))).alias("s"))
     return t.select("img_id", "s.y", filters.total(F.col("s.r")).alias("res_sum"), checksum(F.col("s.r")).alias("res_check"))
 
 
 def unfilter_row_weighted(spark, sf_dir):
-    t = tiles(spark, sf_dir).select("img_id", codec.weighted_residuals(F.col("v"), bpp=3).alias("r"))
+    t = tiles(spark, sf_dir).select("img_id", codec.weighted_residuals(F.col("data"), bpp=3).alias("r"))
     t = t.select("img_id", codec.unfilter(F.col("r"), WEIGHTED, bpp=3).alias("v"))
     return t.select("img_id", filters.total(F.col("v")).alias("byte_sum"), checksum(F.col("v")).alias("byte_check"))
 
@@ -164,9 +172,9 @@ def apply_predictive_filter(spark, sf_dir):
 def undo_predictive_filter(spark, sf_dir):
     """The best filter's payload of every tile turned back by the Arrow form, compared with the tile."""
     t = tiles(spark, sf_dir)
-    packed = t.select("img_id", "v", codec.filter_tile(codec.bytes_of(F.col("v")), 16, 1).alias("payload"))
-    back = packed.select("img_id", "v", codec.unfilter_tile(F.col("payload"), 16, 1).alias("back"))
-    return back.select("img_id", (F.col("back") == codec.bytes_of(F.col("v"))).alias("same"))
+    packed = t.select("img_id", "data", codec.filter_tile(F.col("data"), 16, 1).alias("payload"))
+    back = packed.select("img_id", "data", codec.unfilter_tile(F.col("payload"), 16, 1).alias("back"))
+    return back.select("img_id", (F.col("back") == F.col("data")).alias("same"))
 
 
 def quick(spark, sf_dir):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -391,39 +391,46 @@ def encode_indexed(images: DataFrame, options: EncodeOptions | None = None) -> D
         raise ValueError("an indexed image has neither tiles, passes nor byte shuffle here")
     median = o.palette_algorithm.lower().replace("-", "").replace("_", "") == "mediancut"
 
+    heuristic = "adaptive" if o.adaptive_analysis else o.filter_heuristic
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"img_id": b["img_id"], "content": [indexed(np.frombuffer(p, np.uint8).reshape(h, w, 4), o, median) for w, h, p in zip(b["width"], b["height"], b["pixels"], strict=True)]})
+            made = [indexed(np.frombuffer(p, np.uint8).reshape(h, w, 4), o, median) for w, h, p in zip(b["width"], b["height"], b["pixels"], strict=True)]
+            parts = [p for _, _, strips in made for p in strips]
+            data = iter(codec.grouped(parts, lambda t, stride, bpp: codec.payloads(t, stride, bpp, heuristic, o.level)) if o.use_filter else [p[0] for p in parts])
+            yield pd.DataFrame({"img_id": b["img_id"], "content": [indexed_file(h, pal, [next(data) for _ in strips], o.level) for h, pal, strips in made]})
 
     return images.select("img_id", "width", "height", "pixels").mapInPandas(run, "img_id bigint, content binary")
 
 
-def indexed(rgba: np.ndarray, o: EncodeOptions, median: bool) -> bytes:
-    """One indexed container; an image is the unit of palette and scan order, so its pixels stay together."""
+def indexed(rgba: np.ndarray, o: EncodeOptions, median: bool) -> tuple[K.Header, np.ndarray, list[tuple[bytes, int, int]]]:
+    """Header, palette and strips of packed indices of one image, whose pixels stay together as its palette's unit."""
     from tessera.operators import quantize
 
     px = rgba.reshape(-1, 4).astype(np.int64)
     if median:
         px = np.concatenate([px[:, :3], np.full((len(px), 1), 255)], 1)
-        colors = np.unique(px[:, :3], axis=0)
-        pal = quantize.cut(colors, 256)
+    packed = (px << np.array([24, 16, 8, 0])).sum(1)
+    keys, first, back = np.unique(packed, return_index=True, return_inverse=True)
+    if median:
+        pal = quantize.cut(px[first][:, :3], 256)
         pal = np.concatenate([pal, np.full((len(pal), 1), 255)], 1)
     else:
-        colors, first = np.unique(px, axis=0, return_index=True)
         pal = px[np.sort(first)[:256]]
-    colors, back = np.unique(px, axis=0, return_inverse=True)
+    colors = px[first]
     near = np.concatenate([((colors[k : k + 4096, None, :] - pal[None]) ** 2).sum(-1).argmin(1) for k in range(0, len(colors), 4096)])
-    idx = near[back.reshape(-1)].reshape(rgba.shape[:2]).astype(np.uint8)
+    idx = near[back.reshape(-1)].reshape(rgba.shape[:2])
     depth = next(d for d, n in ((1, 2), (2, 4), (4, 16), (8, 256)) if len(pal) <= n)
     h = K.Header(rgba.shape[1], rgba.shape[0], depth, K.UINT, 3, 0, K.PREDICTIVE if o.use_filter else K.NO_FILTER)
     per = 8 // depth
     rows = np.pad(idx, ((0, 0), (0, -idx.shape[1] % per))).reshape(len(idx), -1, per)
-    rows = (rows.astype(np.int64) << (8 - depth * (np.arange(per) + 1))).sum(-1).astype(np.uint8)
+    rows = (rows << (8 - depth * (np.arange(per) + 1))).sum(-1).astype(np.uint8)
+    return h, pal, [(rows[k : k + o.tile_rows].tobytes(), rows.shape[1], 1) for k in range(0, len(rows), o.tile_rows)]
+
+
+def indexed_file(h: K.Header, pal: np.ndarray, strips: list[bytes], level: int) -> bytes:
     alpha = bool((pal[:, 3] < 255).any())
-    heuristic = "adaptive" if o.adaptive_analysis else o.filter_heuristic
-    out = [(K.PLTE, *codec.compress(K.pack_palette([tuple(map(int, e)) for e in pal], alpha), o.level))]
-    for k in range(0, len(rows), o.tile_rows):
-        data = rows[k : k + o.tile_rows].tobytes()
-        out.append((K.IDAT, *codec.compress(codec.payloads([data], rows.shape[1], 1, heuristic, o.level)[0] if o.use_filter else data, o.level)))
-    head = K.Header(**{**h.__dict__, "compression_method": int(any(f for _, f, _ in out))})
+    out = [(K.PLTE, *codec.compress(K.pack_palette([tuple(map(int, e)) for e in pal], alpha), level))]
+    out += [(K.IDAT, *codec.compress(x, level)) for x in strips]
+    head = replace(h, compression_method=int(any(f for _, f, _ in out)))
     return K.SIGNATURE + K.write_chunk(K.IHDR, 0, head.pack()) + b"".join(K.write_chunk(*c) for c in out) + K.write_chunk(K.IEND, 0, b"")
