@@ -27,6 +27,9 @@ from tessera.llm.common import small, stored, whole_row
 
 TARGET_ENTROPY, MAX_REPEATS, STEPS = 0.95, 4.0, 30
 BLOCK_TOKENS, BUDGET_SHARE = 200_000, 1.0
+#: A source of more blocks than this has larger blocks instead, so that neither its block sums nor one block's documents
+#: are many rows for the one task that puts them in order.
+MAX_BLOCKS = 100_000
 
 
 def digest(*parts: Column) -> Column:
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     sources = stored(counted.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens")), "sources")
     n_sources, total = sources.agg(F.count("*"), F.sum("tokens")).first()
     a = exponent(sources, target_entropy, max_repeats, budget_share)
-    blocks = F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)).cast("bigint").alias("blocks")
+    blocks = F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(MAX_BLOCKS)).cast("bigint").alias("blocks")
     quotas = stored(plan(sources, a, budget_share * (total or 0)).select("source", "passes", "rest", blocks), "quotas")
     rows = counted.join(small(quotas, n_sources), F.col("_source") == F.col("source")).withColumn("block", F.pmod(F.col("_h"), F.col("blocks")))
     sums = rows.groupBy("source", "block").agg(F.sum("_tokens").alias("inside"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))

@@ -98,7 +98,7 @@ be AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT k +
 br AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN {most.format(a='((lo + hi) / 2)')} THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {most.format(a='((lo + hi) / 2)')} THEN (lo + hi) / 2 ELSE hi END FROM br WHERE k < {mixing.STEPS}),
 ex AS (SELECT CASE WHEN (SELECT count(*) FROM sh) <= 1 THEN 1.0::DOUBLE ELSE greatest(CASE WHEN {entropy.format(a='1.0::DOUBLE')} THEN 1.0::DOUBLE ELSE (SELECT max(lo) FROM be WHERE k = {mixing.STEPS}) END, CASE WHEN {most.format(a='0.0::DOUBLE')} THEN 0.0::DOUBLE ELSE (SELECT max(hi) FROM br WHERE k = {mixing.STEPS}) END) END AS a),
 w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM src), (SELECT a FROM ex)) ELSE 0 END AS w FROM src),
-q AS (SELECT source, tokens, CAST(round(w / (SELECT sum(w) FROM w) * {mixing.BUDGET_SHARE} * (SELECT sum(tokens) FROM src)) AS BIGINT) AS quota, greatest(CAST(ceil(tokens / {float(mixing.BLOCK_TOKENS)}) AS BIGINT), 1) AS blocks FROM w),
+q AS (SELECT source, tokens, CAST(round(w / (SELECT sum(w) FROM w) * {mixing.BUDGET_SHARE} * (SELECT sum(tokens) FROM src)) AS BIGINT) AS quota, least(greatest(CAST(ceil(tokens / {float(mixing.BLOCK_TOKENS)}) AS BIGINT), 1), {mixing.MAX_BLOCKS}) AS blocks FROM w),
 p AS (SELECT source, blocks, CAST(CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS BIGINT) AS passes, quota - CAST(CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS BIGINT) * tokens AS rest FROM q),
 r AS (SELECT own.doc_id, source, name, n_tokens, {hashed('name')} AS h, {hashed('name')} % blocks AS block, passes, rest FROM own JOIN p USING (source)),
 bl AS (SELECT source, block, sum(n_tokens) AS inside, any_value(passes) AS passes, any_value(rest) AS rest FROM r GROUP BY ALL),
