@@ -24,6 +24,17 @@ def document_tiles(docs: DataFrame, stride: int = STRIDE, size: int = TILE_BYTES
     return d.select("img_id", "data", byte_values(F.col("data")).alias("v"))
 
 
+def whole_tiles(docs: DataFrame, stride: int = STRIDE, size: int = TILE_BYTES) -> DataFrame:
+    """img_id, tile_id, data: every whole text as tiles of `size` bytes in order, its last row filled up with zeros;
+    empty texts have none. The pieces are cut before they are exploded, so that no tile carries its whole text."""
+    d = docs.where(F.octet_length("text") > 0).select(F.col("doc_id").alias("img_id"), F.encode("text", "UTF-8").alias("d"))
+    fill = F.substring(F.lit(bytes(stride)), F.lit(1), (stride - F.octet_length("d") % stride) % stride)
+    d = d.select("img_id", F.concat("d", fill).alias("d"))
+    last = F.ceil(F.octet_length("d") / size).cast("int") - 1
+    tiles = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("tile_id"), F.substring("d", k * size + 1, F.lit(size)).alias("data")))
+    return d.select("img_id", F.inline(tiles))
+
+
 def tile_rows(tiles: DataFrame, stride: int = STRIDE) -> DataFrame:
     """img_id, y, cur, up, up2: every row of every tile with the two rows above it (empty where there is none)."""
     height = F.floor(F.size("v") / stride).cast("int")

@@ -11,7 +11,7 @@ from tessera.functions import container as K
 from tessera.functions.color import bytes_per_pixel
 from tessera.operators import codec, raster
 from tessera.plans import lifecycle as L
-from tessera.plans.filter_queries import cells_sql, checksum, tiles
+from tessera.plans.filter_queries import cells_sql, checksum, tiles, whole_tiles
 from tessera.plans.options import EncodeOptions
 from tessera.plans.tables import table
 from tessera.sources import containers
@@ -221,8 +221,8 @@ def decompress_limited(spark, sf_dir):
 
 
 def train_dictionary(spark, sf_dir):
-    t = tiles(spark, sf_dir)
-    rows = t.select((F.col("img_id") % 8).alias("img_id"), F.floor(F.col("img_id") / 8).cast("int").alias("seq"), F.col("data"))
+    """A dictionary for each text from its first tiles, and its size."""
+    rows = whole_tiles(spark, sf_dir).withColumnRenamed("tile_id", "seq")
     return codec.train_dictionaries(rows).select("img_id", F.col("dictionary").isNotNull().alias("trained"), F.octet_length("dictionary").alias("n"))
 
 

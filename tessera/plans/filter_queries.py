@@ -15,6 +15,11 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.document_tiles(spread(docs))
 
 
+def whole_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of whole texts, for queries that no SQL twin binds to the first tile."""
+    return raster.whole_tiles(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def checksum(values):
     """Sum of (place + 1) * value, so that order counts."""
     return F.aggregate(F.transform(values, lambda x, i: (i + 1).cast("bigint") * x), F.lit(0).cast("bigint"), lambda s, x: s + x)
@@ -160,6 +165,12 @@ def choose_best_filter(spark, sf_dir):
     return filters.best_filter(scored(spark, sf_dir))
 
 
+def best_filters_of_texts(spark, sf_dir):
+    """img_id, tile_id, code, score: the best filter of every tile of every whole text."""
+    t = whole_tiles(spark, sf_dir).select(F.struct("img_id", "tile_id").alias("img_id"), "data")
+    return filters.best_filter(filters.scores(t)).select("img_id.img_id", "img_id.tile_id", "code", "score")
+
+
 def apply_predictive_filter(spark, sf_dir):
     """Per tile: the code byte and the residuals of the best filter, as their length, code and checksum."""
     t = tiles(spark, sf_dir)
@@ -218,9 +229,9 @@ def complexity(spark, sf_dir):
 
 
 def compression_test(spark, sf_dir):
-    """Size of every filter's residuals after compression, and whether it is the smallest."""
-    t = filters.residual_tiles(tiles(spark, sf_dir)).select("img_id", "code", codec.compressed_size(codec.bytes_of(F.col("res"))).alias("size"))
-    return t
+    """Size of every filter's residuals after compression, summed over all tiles of a text."""
+    t = filters.residual_tiles(whole_tiles(spark, sf_dir)).select("img_id", "code", codec.compressed_size(codec.bytes_of(F.col("res"))).alias("size"))
+    return t.groupBy("img_id", "code").agg(F.sum("size").alias("size"))
 
 
 def tile_stats_sql() -> str:
