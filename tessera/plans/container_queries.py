@@ -248,19 +248,38 @@ def sink_image(spark, sf_dir):
     return p.select("img_id", K.be_number(F.col("content"), 16, 4).alias("width"), K.be_number(F.col("content"), 20, 4).alias("height"))
 
 
-def stream_progress(spark, sf_dir):
-    """Chunks as a stream of files in three batches; the last state of every image."""
+def whole_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img_id, width 8, height, RGBA pixels: an image of every whole text, its last row of 32 bytes filled up."""
+    t = raster.whole_tiles(table(spark, sf_dir, "documents"), 32, 2**30)
+    return t.select("img_id", F.lit(8).alias("width"), (F.octet_length("data") / 32).cast("int").alias("height"), F.col("data").alias("pixels"))
+
+
+def streamed(spark: SparkSession, pictures: DataFrame) -> DataFrame:
+    """Chunks of images as a stream of files in three batches, and the last state of every image; chunks, states and
+    checkpoints lie in the shared folder."""
     root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-streams") + f"/{uuid.uuid4().hex}"
-    c = L.chunks(L.encode(images(spark, sf_dir).where("img_id < 200"), EncodeOptions(tile_rows=2, level=3))).select("img_id", "type", "data")
-    c.repartition(3, "img_id").write.parquet(f"{root}/in")
-    s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    name = f"progress_{uuid.uuid4().hex}"
-    q = S.progress(s).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+    c = L.chunks(L.encode(pictures, EncodeOptions(tile_rows=2, level=3))).select("img_id", "type", "data")
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    c.repartition(files, "img_id").write.parquet(f"{root}/in")
+    s = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{root}/in")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+    q = S.progress(s).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.table(name).groupBy("img_id").agg(F.max(F.struct("chunks", "tiles", "budget", "ended")).alias("m"))
+    out = spark.read.schema(S.OUT).parquet(f"{root}/out")
+    last = out.groupBy("img_id").agg(F.max(F.struct("chunks", "tiles", "budget", "ended")).alias("m"))
     return last.select("img_id", "m.*")
 
 
+def stream_progress(spark, sf_dir):
+    """The images that the SQL twin names."""
+    return streamed(spark, images(spark, sf_dir).where("img_id < 200"))
+
+
+def stream_progress_of_texts(spark, sf_dir):
+    """All documents, as whole texts; no SQL twin."""
+    return streamed(spark, whole_images(spark, sf_dir))
+
+
 def compression_stats(spark, sf_dir):
     """Bytes by chunk type over all files."""
     c = L.chunks(L.encode(images(spark, sf_dir), EncodeOptions(tile_rows=2, level=3)))
@@ -304,7 +323,7 @@ QUERIES = {name: round_trip(o) for name, o in PATHS.items()} | {name: round_trip
     "meta_json": meta_json, "meta_exif": first_of("true"), "meta_icc": first_of("NOT broken"), "meta_xmp": first_of("is_valid_utf8(CAST(data AS STRING))"), "meta_zdic": first_of("NOT broken"),
     "meta_idim": meta_idim, "meta_plte": meta_plte, "meta_chdr": meta_chdr, "be_read": be_read, "header_validation": header_validation,
     "compress_fallback": compress_fallback, "compress_fallback_dict": compress_fallback_dict, "decompress_limited": decompress_limited, "decompress_budget": decompress_budget, "decompress_budget_used": budget_used,
-    "train_dictionary": train_dictionary, "append_idat": append_idat, "stream_chunk_progress": stream_progress, "compression_stats": compression_stats,
+    "train_dictionary": train_dictionary, "append_idat": append_idat, "stream_chunk_progress": stream_progress, "stream_chunk_progress_of_texts": stream_progress_of_texts, "compression_stats": compression_stats,
 }
 
 ORACLES = {name: _whole for name in PATHS} | {name: _format_sql(parts) for name, (_, parts) in FORMATS.items()} | {

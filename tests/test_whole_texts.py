@@ -56,3 +56,14 @@ def test_a_dictionary_for_each_text(spark, small):
 def test_entry_reads_whole_texts(spark, sf):
     n = [len(r.text.encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text]
     assert __spark_entry__.entry(spark).count() == sum(-(-x // 256) for x in n) > len(n)
+
+
+def test_all_documents_are_streamed(spark, tmp_path):
+    texts = {k: "words of a text " * (k % 40 + 1) for k in range(150, 260)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.img_id: (r.chunks, r.tiles, r.budget, r.ended) for r in container_queries.QUERIES["stream_chunk_progress_of_texts"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, t in texts.items():
+        height = -(-len(t) // 32)
+        want[k] = (2 + -(-height // 2), -(-height // 2), 33 * height, True)
+    assert got == want
