@@ -5,8 +5,11 @@ link-adjusted characters per tag are
     density = C/T * log(C*T / (LC' * LT')) / log(log(C*LC'/nLC + C*lcb/cb + e))
 in the spirit of composite text density (nLC = C - LC; lcb/cb = the body's share of link characters; a primed count
 is at least 1). The density sum of a node is the sum of its children's densities. The node of maximum density sum is
-taken first; the threshold is the least density on the path from it up to the body; the content is the outermost
-subtree on that path whose density reaches the threshold, cut down to its dense blocks.
+taken first; the content is the outermost subtree on the path from it up to the body that isn't mostly links. The
+threshold is the least density on that path; divisions of the content beside the path whose density is below it go.
+Two things differ from the method there. Densities are compared at equal size (without the logarithm of C*T, which grows
+with a node), and only what is under BESIDE of the threshold goes, as half the sections of any article are thinner than
+the whole. An article or main element that the page names stays whole, and so does text spread over the body.
 Before that, elements that never hold an article's text (script, style, nav, header or footer of the page, aside,
 form, ... and anything whose class, id or role names an advert, a notice, a menu, a sidebar or comments) are dropped.
 
@@ -52,16 +55,19 @@ NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 HIDING = re.compile(r"""\bhidden\b(?!\s*[-\w])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v ]+")
 INSIDE = frozenset("article main".split())
+#: Divisions beside the path are judged by density: those under this part of the threshold go.
+JUDGED, BESIDE = frozenset("div section".split()), 0.5
 SCOPE = frozenset("div section article main body html td th table blockquote".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "rate", "titled", "thin")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.density_sum = 0.0
+        self.density = self.density_sum = self.rate = 0.0
+        self.titled = self.thin = False
 
 
 def parse(source: str) -> Node:
@@ -159,6 +165,7 @@ def measure(root: Node) -> None:
                 n.tags += x.tags + 1
                 n.link_chars += x.link_chars
                 n.link_tags += x.link_tags + (x.tag == "a")
+                n.titled |= x.titled or x.tag == "h1"
         if n.tag == "a":
             n.link_chars = n.chars
     body_share = root.link_chars / max(1, root.chars)
@@ -166,13 +173,14 @@ def measure(root: Node) -> None:
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         if c:
             base = math.log(c * lc / max(1, c - n.link_chars) + c * body_share + math.e)
-            n.density = c / t * math.log(max(1.0, c * t / (lc * lt)) + 1) / max(math.log(max(base, 1.0) + 1), 0.1)
+            n.rate = c / t / max(math.log(max(base, 1.0) + 1), 0.1)
+            n.density = n.rate * math.log(max(1.0, c * t / (lc * lt)) + 1)
     for n in order:
         n.density_sum = sum(x.density for x in n.items if isinstance(x, Node))
 
 
 def choose(root: Node) -> Node:
-    """The content subtree: from the node of maximum density sum, up while the path keeps to the threshold."""
+    """The content subtree: from the node of maximum density sum up the path; what is too thin beside it is marked."""
     best, stack = root, [root]
     while stack:
         n = stack.pop()
@@ -188,18 +196,22 @@ def choose(root: Node) -> Node:
     if best.tag in INSIDE:
         return best
     within = [n for n in path if n.tag not in ("html", "body")] or [best]
-    threshold = min(n.density for n in path)
     top = within[0]
     for n in within[1:]:
-        if n.density >= threshold and n.chars and n.link_chars <= 0.3 * n.chars:
+        if n.chars and n.link_chars <= 0.3 * n.chars:
             top = n
     if top.chars < 0.5 * root.chars and root.link_chars <= 0.3 * max(1, root.chars):
         return root  # the text is spread over the body
+    threshold = min(n.rate for n in path)
+    for n in path[1 : path.index(top) + 1]:
+        for x in n.items:
+            if isinstance(x, Node) and x not in path and x.tag in JUDGED and not x.titled:
+                x.thin = x.rate < BESIDE * threshold
     return top
 
 
 def blocks(top: Node) -> list[str]:
-    """Texts of the blocks under a node, in page order, white space as one space; runs of links alone are dropped."""
+    """Texts of the blocks under a node, in page order, white space as one space; thin parts and runs of links alone are dropped."""
     out: list[str] = []
     current: list[str] = []
 
@@ -218,7 +230,7 @@ def blocks(top: Node) -> list[str]:
         elif x.tag == "br":
             current.append(" ")
         else:
-            if x is not top and x.tag in ("ul", "ol", "table", "div", "section") and x.chars and x.link_chars >= 0.9 * x.chars and x.link_tags >= 2:
+            if x.thin or x is not top and x.tag in ("ul", "ol", "table", "div", "section") and x.chars and x.link_chars >= 0.9 * x.chars and x.link_tags >= 2:
                 continue
             is_block = x.tag in BLOCK
             if is_block:

@@ -204,6 +204,17 @@ def test_pages_against_plain_cutting(spark, sf):
         assert got[r.page_id] == want
 
 
+PARAS = [f"Paragraph {k} of the text says at some length what it has to say, and it goes on for a while, as the paragraphs of an article do; it ends here." for k in range(6)]
+
+
+def test_thin_parts_beside_the_text_go():
+    text = "".join(f"<p>{p}</p>" for p in PARAS)
+    teasers = "".join(f"<div><p>Teaser {k}</p><p>Read on</p></div>" for k in range(4))
+    second = "".join(f"<p>{p[:90].strip()}</p>" for p in PARAS[:3])
+    page = f"<html><body><div id=wrap><h1>Title</h1><div>{text}</div><div>{second}</div><div>{teasers}</div><p>Short end.</p></div></body></html>"
+    assert html.extract(page) == "\n\n".join(["Title", *PARAS, *(p[:90].strip() for p in PARAS[:3]), "Short end."])
+
+
 # --- toxicity
 
 
