@@ -11,7 +11,11 @@ Two things differ from the method there. Densities are compared at equal size (w
 with a node), and only what is under BESIDE of the threshold goes, as half the sections of any article are thinner than
 the whole. An article or main element that the page names stays whole, and so does text spread over the body.
 Before that, elements that never hold an article's text (script, style, nav, header or footer of the page, aside,
-form, ... and anything whose class, id or role names an advert, a notice, a menu, a sidebar or comments) are dropped.
+form, ...) are dropped. A class, id or role that names an advert, a notice, a menu, a sidebar or comments drops its
+element only if that holds no article, main or h1 and at most SMALL_SHARE of the page's text: a wrapper that states its
+layout stays. A larger one goes only if a whole name says so and either the page has an article or main elsewhere, or it
+lies beside the path and holds no more than half of the text; in the choice of the node it counts PENALTY times. Headings, and headers with a heading, never go by
+name. Link lists go outside of article and main only.
 
 Style: Arrow batches of pages through plain Python, one page at a time, with no state between pages. A DOM walk has no
 DataFrame form; memory is bounded by one batch of pages and the largest page.
@@ -37,10 +41,10 @@ ship(__name__)
 
 #: Elements without content, elements dropped as a whole, elements that start a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object canvas math".split())
-DROPPED = RAW | frozenset("head nav aside form button select footer dialog menu label input audio video figcaption".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas".split())
+DROPPED = RAW | frozenset("head nav aside form button select footer dialog menu label input audio video annotation annotation-xml".split())
 BLOCK = frozenset(
-    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address header footer figure hr form fieldset details summary nav aside center".split()
+    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figcaption blockquote pre address header footer figure hr form fieldset details summary nav aside center".split()
 )
 #: Words that name a part which is no article text, as a whole part of a class, id or role.
 BOILERPLATE = re.compile(
@@ -48,6 +52,8 @@ BOILERPLATE = re.compile(
     r"comments?|commentlist|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|pagination|pager|skip|search|copyright|legal|hidden|complementary|contentinfo|navigation|dialog|alert)(?:$|[\s_-]|\d)",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SMALL_SHARE, PENALTY = 0.3, 0.2
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -61,13 +67,39 @@ SCOPE = frozenset("div section article main body html td th table blockquote".sp
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "rate", "titled", "thin")
+    __slots__ = ("tag", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "rate", "titled", "headed", "cased", "thin", "named")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = self.rate = 0.0
-        self.titled = self.thin = False
+        self.titled = self.headed = self.cased = self.thin = False
+        self.named = 0
+
+
+def naming(names: str) -> int:
+    """What the names of an element say: 0 nothing, 1 a part of a name is a word of BOILERPLATE, 2 a whole name is, 3 the
+    only such word is header."""
+    words = [m[0].strip(" \t\n\r\f_-").lower() for m in BOILERPLATE.finditer(names)]
+    if not words:
+        return 0
+    if set(words) == {"header"}:
+        return 3
+    return 2 if any((m := BOILERPLATE.match(x)) and m.end() == len(x) for x in names.split()) else 1
+
+
+def pruned(root: Node) -> bool:
+    """Takes out the small parts whose name says that they are no text; whether any went."""
+    gone, stack = False, [(root, False)]
+    while stack:
+        n, inside = stack.pop()
+        inside |= n.tag in INSIDE
+        stays = lambda x: not x.named or x.tag in INSIDE or x.titled or (x.named == 3 and x.headed) or (x.chars > SMALL_SHARE * root.chars and not (x.named == 2 and root.cased and not inside))  # noqa: B023, E731
+        keep = [x for x in n.items if isinstance(x, str) or stays(x)]
+        gone |= len(keep) < len(n.items)
+        n.items = keep
+        stack.extend((x, inside) for x in keep if isinstance(x, Node))
+    return gone
 
 
 def parse(source: str) -> Node:
@@ -110,9 +142,11 @@ def parse(source: str) -> Node:
             node.items.append(Node(tag, node))
             continue
         drop = tag in DROPPED or (tag == "header" and not in_article)
+        named = 0
         if not drop and attrs.strip():
             names = " ".join(a or b or c for a, b, c in NAMING.findall(attrs))
-            drop = bool((names and tag not in ("html", "body", "article", "main") and BOILERPLATE.search(names)) or HIDING.search(attrs))
+            named = naming(names) if names and tag not in HEADINGS else 0
+            drop = bool(HIDING.search(attrs))
         if drop:
             if not attrs.endswith("/"):
                 if tag in RAW:  # nothing inside is markup
@@ -140,6 +174,7 @@ def parse(source: str) -> Node:
             while up is not None and up.tag in closes:
                 node = up = up.parent
         child = Node(tag, node)
+        child.named = named
         node.items.append(child)
         if not attrs.endswith("/"):
             node = child
@@ -157,6 +192,8 @@ def measure(root: Node) -> None:
         order.append(n)
         stack.extend(x for x in n.items if isinstance(x, Node))
     for n in reversed(order):
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.titled = n.headed = n.cased = False
         for x in n.items:
             if isinstance(x, str):
                 n.chars += len(SPACES.sub("", x))
@@ -165,7 +202,9 @@ def measure(root: Node) -> None:
                 n.tags += x.tags + 1
                 n.link_chars += x.link_chars
                 n.link_tags += x.link_tags + (x.tag == "a")
-                n.titled |= x.titled or x.tag == "h1"
+                n.titled |= x.titled or x.tag == "h1" or (x.tag in INSIDE and not x.named)
+                n.cased |= x.cased or (x.tag in INSIDE and not x.named and x.chars > 0)
+                n.headed |= x.headed or x.tag in HEADINGS
         if n.tag == "a":
             n.link_chars = n.chars
     body_share = root.link_chars / max(1, root.chars)
@@ -181,15 +220,21 @@ def measure(root: Node) -> None:
 
 def choose(root: Node) -> Node:
     """The content subtree: from the node of maximum density sum up the path; what is too thin beside it is marked."""
-    best, stack = root, [root]
+    best, most, stack = root, root.density_sum, [(root, 1.0)]
     while stack:
-        n = stack.pop()
-        if n.density_sum > best.density_sum:
-            best = n
-        stack.extend(x for x in n.items if isinstance(x, Node))
+        n, weight = stack.pop()
+        if n.named == 2:
+            weight = PENALTY
+        if n.density_sum * weight > most:
+            best, most = n, n.density_sum * weight
+        stack.extend((x, weight) for x in n.items if isinstance(x, Node))
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    for n in path:
+        for x in n.items:
+            if n is not best and isinstance(x, Node) and x.named == 2 and x not in path and not x.titled and x.tag not in INSIDE:
+                x.thin = x.chars <= 0.5 * root.chars
     for n in path[1:]:
         if n.tag in INSIDE:  # an element that the page itself calls its article
             return n
@@ -206,7 +251,7 @@ def choose(root: Node) -> Node:
     for n in path[1 : path.index(top) + 1]:
         for x in n.items:
             if isinstance(x, Node) and x not in path and x.tag in JUDGED and not x.titled:
-                x.thin = x.rate < BESIDE * threshold
+                x.thin |= x.rate < BESIDE * threshold
     return top
 
 
@@ -214,15 +259,18 @@ def blocks(top: Node) -> list[str]:
     """Texts of the blocks under a node, in page order, white space as one space; thin parts and runs of links alone are dropped."""
     out: list[str] = []
     current: list[str] = []
+    within = top
+    while within is not None and within.tag not in INSIDE:
+        within = within.parent
 
     def flush() -> None:
         if text := SPACES.sub(" ", entities.unescape("".join(current))).strip():
             out.append(text)
         current.clear()
 
-    stack: list = [top]
+    stack: list = [(top, within is not None)]
     while stack:
-        x = stack.pop()
+        x, inside = stack.pop()
         if isinstance(x, str):
             current.append(x)
         elif x is None:
@@ -230,13 +278,14 @@ def blocks(top: Node) -> list[str]:
         elif x.tag == "br":
             current.append(" ")
         else:
-            if x.thin or x is not top and x.tag in ("ul", "ol", "table", "div", "section") and x.chars and x.link_chars >= 0.9 * x.chars and x.link_tags >= 2:
+            inside |= x.tag in INSIDE
+            if x.thin or not inside and x is not top and x.tag in ("ul", "ol", "table", "div", "section") and x.chars and x.link_chars >= 0.9 * x.chars and x.link_tags >= 2:
                 continue
             is_block = x.tag in BLOCK
             if is_block:
                 flush()
-                stack.append(None)
-            stack.extend(reversed(x.items))
+                stack.append((None, inside))
+            stack.extend((y, inside) for y in reversed(x.items))
     flush()
     return out
 
@@ -247,6 +296,8 @@ def extract(source: str | None) -> str:
         return ""
     root = parse(source)
     measure(root)
+    if pruned(root):
+        measure(root)
     return "\n\n".join(blocks(choose(root)))
 
 

@@ -215,6 +215,26 @@ def test_thin_parts_beside_the_text_go():
     assert html.extract(page) == "\n\n".join(["Title", *PARAS, *(p[:90].strip() for p in PARAS[:3]), "Short end."])
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout no-sidebar", "site-content sidebar-right", "sidebar"])
+def test_wrappers_that_state_their_layout_stay(name):
+    text = "".join(f"<p>{p}</p>" for p in PARAS)
+    small = "<div class='widget sidebar'><p>Seen elsewhere</p></div><div class=ad-box>Buy!</div>"
+    for page in (f"<body><div class='{name}'>{text}{small}</div></body>", f"<body><div class='{name}'><article>{text}</article>{small}</div></body>"):
+        assert html.extract(page) == "\n\n".join(PARAS)
+
+
+def test_parts_of_an_article_stay():
+    text = "".join(f"<p>{p}</p>" for p in PARAS)
+    page = f"<body><article><div class=entry-header><h2>Name</h2></div><h2 class=section-header>Part</h2>{text}<figure><img src=x><figcaption>What is seen</figcaption></figure><p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul></article></body>"
+    assert html.extract(page) == "\n\n".join(["Name", "Part", *PARAS, "What is seen", "So a=b holds.", "First source", "Second source"])
+
+
+def test_long_comments_do_not_win():
+    said = "".join(f"<article class=comment><p>Reader {k} says: {p}</p></article>" for k, p in enumerate(PARAS[:4]))
+    text = "".join(f"<p>{p}</p>" for p in PARAS)
+    assert html.extract(f"<body><div><div class=text>{text}</div><div id=comments>{said}</div></div></body>") == "\n\n".join(PARAS)
+
+
 # --- toxicity
 
 
