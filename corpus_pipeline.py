@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines whose template recurs; a document that has lost all its text goes."""
-    d = line_templates.deduplicate(docs.select(*COLUMNS))
+    d = line_templates.deduplicate(docs.select(*COLUMNS), every_line=True)
     return d.where((F.col("n_dropped") == 0) | (F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != "")).select(*COLUMNS)
 
 

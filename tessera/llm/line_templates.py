@@ -7,7 +7,8 @@ templates in which one part is generalised to <*>. So two lines are of one templ
 tokens and all parts, or all parts but one. Every key is a few hashes wide, and no group of lines is ever gathered.
 
 A template recurs if it stands in at least min_docs documents and has at least min_tokens tokens (short lines, which
-recur by chance, need short_docs documents; lines under short_tokens tokens are left alone). The occurrence in the
+recur by chance, need short_docs documents). With every_line, lines of fewer than SHORT_TOKENS tokens count like other
+short lines; without, they are left alone, as the SQL twin of the registered query leaves them. The occurrence in the
 document with the smallest id stays, so that copies lose a passage but the corpus keeps it.
 
 Defined cases: a null or empty text has no lines and stays; a null doc_id counts as one document, smaller than all
@@ -46,15 +47,15 @@ def masked(text: Column) -> Column:
     return F.when(single.rlike("[0-9]"), F.regexp_replace(single, F.lit(VARIABLE), F.lit("<*>"))).otherwise(single)
 
 
-def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, text_hash, line (from 0), n (tokens), keys: a row per line of at least SHORT_TOKENS tokens; key 0 is the
-    fully specified template.
+def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False) -> DataFrame:
+    """doc, text_hash, line (from 0), n (tokens), keys: a row per line of at least SHORT_TOKENS tokens, or per line that
+    isn't blank; key 0 is the fully specified template.
 
     Lines are exploded first, so that everything about a line is plain columns of compiled code.
     """
     d = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(text), F.char_length(text)).alias("text_hash"), F.split(masked(F.col(text)), "\n", -1).alias("lines"))
     d = d.select("doc", "text_hash", F.posexplode_outer("lines").alias("line", "l"))
-    d = d.select("doc", "text_hash", "line", F.split("l", " ", -1).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= SHORT_TOKENS)
+    d = d.select("doc", "text_hash", "line", F.split("l", " ", -1).alias("t")).withColumn("n", F.size("t")).where(F.get("t", F.lit(0)) != "" if every_line else F.col("n") >= SHORT_TOKENS)
     width = F.greatest(F.ceil((F.col("n") - LEAD) / QUARTERS).cast("int"), F.lit(1))
     parts = [F.xxhash64(F.slice("t", width * k + (LEAD + 1), width), F.lit(k)).alias(f"p{k}") for k in range(QUARTERS)]
     d = d.select("doc", "text_hash", "line", "n", F.xxhash64(F.slice("t", 1, LEAD)).alias("lead"), *parts)
@@ -70,17 +71,17 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_
     return t.where(F.col("docs") >= F.when(F.col("n") >= min_tokens, min_docs).otherwise(short_docs)).select("key", "first_doc")
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False, **limits: int) -> DataFrame:
     """doc, text_hash, drop (line numbers): what goes from each document that loses a line."""
-    lines = stored(lines_of(docs, doc_id, text), "lines")
+    lines = stored(lines_of(docs, doc_id, text, every_line), "lines")
     again = lines.select("doc", "text_hash", "line", F.explode("keys").alias("key")).join(recurring(lines, **limits), "key").where(F.col("doc") > F.col("first_doc"))
     return again.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("drop"))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False, **limits: int) -> DataFrame:
     """docs with the text without its dropped lines, n_chars (if there) with it, and n_lines and n_dropped, which
     replace columns of these names."""
-    drops = dropped_lines(docs, doc_id, text, **limits)
+    drops = dropped_lines(docs, doc_id, text, every_line, **limits)
     keyed = docs.select(whole_row(docs), F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"), F.col(text).alias("_text"), F.xxhash64(F.col(text), F.char_length(text)).alias("_hash"))
     joined = keyed.join(drops, (F.col("_id") == F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left")
     all_lines = F.split("_text", "\n", -1)

@@ -424,6 +424,12 @@ def test_passages_stay_in_one_document(spark, prose):
     assert out[8].text == texts[8] and out[9].text == texts[9]
 
 
+def test_short_lines_recur_in_the_pipeline(spark, prose):
+    texts = [f"{prose(30, k + 700)}\n\nAll rights reserved.\nOf.{k % 2}\n" for k in range(12)] + ["Les.\n" + prose(30, k + 800) for k in range(9)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, texts), "").collect()}
+    assert out == {k: t if k == 0 or k > 11 else t.split("\n")[0] + "\n\n" for k, t in enumerate(texts)}
+
+
 # --- mixing
 
 
