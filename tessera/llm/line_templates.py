@@ -4,7 +4,8 @@ Main path: DataFrame functions only. A line walks down the tree by its token cou
 Tokens with a digit are variable fields and become <*> everywhere. In the leaf the rest of the line is cut into
 QUARTERS parts; a line belongs to the template of all its parts and, if it has at least VARY_TOKENS tokens, to the
 templates in which one part is generalised to <*>. So two lines are of one template if they agree in count, leading
-tokens and all parts, or all parts but one. Every key is a few hashes wide, and no group of lines is ever gathered.
+tokens and all parts, or all parts but one. With every_line, lines of MIN_TOKENS to VARY_TOKENS - 1 tokens generalise
+too, but need VARY_DOCS documents against chance, and the leading tokens are one more part that may vary. Every key is a few hashes wide, and no group of lines is ever gathered.
 
 A template recurs if it stands in at least min_docs documents and has at least min_tokens tokens (short lines, which
 recur by chance, need short_docs documents). With every_line, lines of fewer than SHORT_TOKENS tokens count like other
@@ -29,6 +30,8 @@ from tessera.llm.common import stored, whole_row
 
 LEAD, QUARTERS, VARY_TOKENS = 3, 4, 16
 MIN_DOCS, MIN_TOKENS, SHORT_DOCS, SHORT_TOKENS = 2, 8, 10, 4
+#: With every_line: documents that a template with a free part needs if its lines have under VARY_TOKENS tokens.
+VARY_DOCS = 10
 NO_ID = -(2**63)
 
 
@@ -61,14 +64,19 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_
     d = d.select("doc", "text_hash", "line", "n", F.xxhash64(F.slice("t", 1, LEAD)).alias("lead"), *parts)
     whole = F.xxhash64("n", "lead", *[f"p{k}" for k in range(QUARTERS)], F.lit(-1))
     but = [F.xxhash64("n", "lead", *[f"p{j}" for j in range(QUARTERS) if j != k], F.lit(k)) for k in range(QUARTERS)]
-    return d.select("doc", "text_hash", "line", "n", F.when(F.col("n") >= VARY_TOKENS, F.array(whole, *but)).otherwise(F.array(whole)).alias("keys"))
+    if every_line:
+        but.append(F.xxhash64("n", *[f"p{k}" for k in range(QUARTERS)], F.lit(QUARTERS)))
+    vary = MIN_TOKENS if every_line else VARY_TOKENS
+    return d.select("doc", "text_hash", "line", "n", F.when(F.col("n") >= vary, F.array(whole, *but)).otherwise(F.array(whole)).alias("keys"))
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS) -> DataFrame:
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS, vary_docs: int = VARY_DOCS) -> DataFrame:
     """key, first_doc: the templates that recur. A template counts each document once."""
-    per_doc = lines.select("doc", "n", F.explode("keys").alias("key")).groupBy("key", "doc").agg(F.max("n").alias("n"))
-    t = per_doc.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc"), F.max("n").alias("n"))
-    return t.where(F.col("docs") >= F.when(F.col("n") >= min_tokens, min_docs).otherwise(short_docs)).select("key", "first_doc")
+    free = (F.col("pos") > 0) & (F.col("n") < VARY_TOKENS)
+    need = F.when(F.col("n") < min_tokens, short_docs).when(free, vary_docs).otherwise(min_docs)
+    per_doc = lines.select("doc", "n", F.posexplode("keys").alias("pos", "key")).select("doc", "key", need.alias("need")).groupBy("key", "doc").agg(F.max("need").alias("need"))
+    t = per_doc.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc").alias("first_doc"), F.max("need").alias("need"))
+    return t.where(F.col("docs") >= F.col("need")).select("key", "first_doc")
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every_line: bool = False, **limits: int) -> DataFrame:

@@ -430,6 +430,16 @@ def test_short_lines_recur_in_the_pipeline(spark, prose):
     assert out == {k: t if k == 0 or k > 11 else t.split("\n")[0] + "\n\n" for k, t in enumerate(texts)}
 
 
+def test_short_lines_with_one_changing_word_recur(spark):
+    word = lambda r: "".join(r.choice("klmnopqr") for _ in range(6))
+    head = lambda k: " ".join(word(random.Random(100 * k + j)) for j in range(20))
+    names = [word(random.Random(10000 + k)) for k in range(12)]
+    texts = [f"{head(k)}\nThis article was written by {x} for the daily paper today.\n{x} wrote this article for the daily paper today" for k, x in enumerate(names)]
+    few = [f"{head(k + 50)}\nHere is what we know of {x} and the whole town" for k, x in enumerate(names[:9])]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, texts + few), "").collect()}
+    assert out == {k: t if k == 0 or k > 11 else t.split("\n")[0] for k, t in enumerate(texts + few)}
+
+
 # --- mixing
 
 
