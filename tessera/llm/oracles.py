@@ -89,23 +89,34 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 
 def _op10() -> str:
     hashed = lambda x: f"CAST('0x' || substr(md5({x}), 1, 13) AS BIGINT)"
+    bits = 10 * mixing.ROUNDS
     entropy = "(SELECT ln(sum(pow(s, {a}))) - sum(pow(s, {a}) * ln(pow(s, {a}))) / sum(pow(s, {a})) FROM sh) >= " + f"{mixing.TARGET_ENTROPY} * (SELECT ln(count(*)) FROM sh)"
     most = f"(SELECT {mixing.BUDGET_SHARE} * max(pow(s, {{a}}) / s) / sum(pow(s, {{a}})) FROM sh) <= {mixing.MAX_REPEATS}"
-    return rf"""WITH RECURSIVE own AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(CAST(doc_id AS VARCHAR), '') AS name, CAST(len({TOKENS}) AS BIGINT) AS n_tokens FROM documents),
-src AS (SELECT source, sum(n_tokens) AS tokens FROM own GROUP BY 1),
+    mid, one, zero = "((lo + hi) / 2)", "1.0::DOUBLE", "0.0::DOUBLE"
+    halve = lambda yes, no: f"SELECT k + 1, CASE WHEN {yes} THEN {mid} ELSE lo END, CASE WHEN {no} THEN {mid} ELSE hi END"
+    even, few = entropy.format(a=mid), most.format(a=mid)
+    return rf"""WITH RECURSIVE own AS (SELECT doc_id, source AS named, coalesce(source, '') AS source, CAST(len({TOKENS}) AS BIGINT) AS n_tokens,
+    {hashed("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))")} AS h FROM documents),
+src AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS n FROM own GROUP BY 1),
 sh AS (SELECT tokens / (SELECT sum(tokens) FROM src) AS s FROM src WHERE tokens > 0),
-be AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN {entropy.format(a='((lo + hi) / 2)')} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {entropy.format(a='((lo + hi) / 2)')} THEN hi ELSE (lo + hi) / 2 END FROM be WHERE k < {mixing.STEPS}),
-br AS (SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN {most.format(a='((lo + hi) / 2)')} THEN lo ELSE (lo + hi) / 2 END, CASE WHEN {most.format(a='((lo + hi) / 2)')} THEN (lo + hi) / 2 ELSE hi END FROM br WHERE k < {mixing.STEPS}),
-ex AS (SELECT CASE WHEN (SELECT count(*) FROM sh) <= 1 THEN 1.0::DOUBLE ELSE greatest(CASE WHEN {entropy.format(a='1.0::DOUBLE')} THEN 1.0::DOUBLE ELSE (SELECT max(lo) FROM be WHERE k = {mixing.STEPS}) END, CASE WHEN {most.format(a='0.0::DOUBLE')} THEN 0.0::DOUBLE ELSE (SELECT max(hi) FROM br WHERE k = {mixing.STEPS}) END) END AS a),
-w AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM src), (SELECT a FROM ex)) ELSE 0 END AS w FROM src),
-q AS (SELECT source, tokens, CAST(round(w / (SELECT sum(w) FROM w) * {mixing.BUDGET_SHARE} * (SELECT sum(tokens) FROM src)) AS BIGINT) AS quota, least(greatest(CAST(ceil(tokens / {float(mixing.BLOCK_TOKENS)}) AS BIGINT), 1), {mixing.MAX_BLOCKS}) AS blocks FROM w),
-p AS (SELECT source, blocks, CAST(CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS BIGINT) AS passes, quota - CAST(CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS BIGINT) * tokens AS rest FROM q),
-r AS (SELECT own.doc_id, source, name, n_tokens, {hashed('name')} AS h, {hashed('name')} % blocks AS block, passes, rest FROM own JOIN p USING (source)),
+be AS (SELECT 0 AS k, {zero} AS lo, {one} AS hi UNION ALL {halve(even, "NOT " + even)} FROM be WHERE k < {bits}),
+br AS (SELECT 0 AS k, {zero} AS lo, {one} AS hi UNION ALL {halve("NOT " + few, few)} FROM br WHERE k < {bits}),
+a1 AS (SELECT CASE WHEN {entropy.format(a=one)} THEN {one} ELSE (SELECT max(lo) FROM be WHERE k = {bits}) END AS a),
+a2 AS (SELECT CASE WHEN {most.format(a=zero)} THEN {zero} ELSE (SELECT max(hi) FROM br WHERE k = {bits}) END AS a),
+ex AS (SELECT CASE WHEN (SELECT count(*) FROM sh) <= 1 THEN {one} ELSE greatest((SELECT a FROM a1), (SELECT a FROM a2)) END AS a),
+w AS (SELECT source, tokens, n, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM src), (SELECT a FROM ex)) ELSE 0 END AS w FROM src),
+q AS (SELECT source, tokens, CAST(round(w / (SELECT sum(w) FROM w) * ({mixing.BUDGET_SHARE}::DOUBLE * (SELECT sum(tokens) FROM src))) AS BIGINT) AS quota,
+    greatest(CAST(ceil(tokens / {float(mixing.BLOCK_TOKENS)}) AS BIGINT), CAST(ceil(n / {float(mixing.BLOCK_ROWS)}) AS BIGINT), 1) AS blocks FROM w),
+p AS (SELECT source, tokens, quota, blocks, CAST(CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS BIGINT) AS passes FROM q),
+r AS (SELECT own.doc_id, own.named, own.source, n_tokens, h, h % blocks AS block, passes, quota - passes * tokens AS rest FROM own JOIN p ON p.source = own.source),
 bl AS (SELECT source, block, sum(n_tokens) AS inside, any_value(passes) AS passes, any_value(rest) AS rest FROM r GROUP BY ALL),
-lo AS (SELECT source, block, inside, rest - coalesce(sum(inside) OVER (PARTITION BY source ORDER BY {hashed("passes || ':' || block || ':' || source")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM bl),
-dc AS (SELECT r.*, left_over, inside, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY h, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN lo USING (source, block)),
-tm AS (SELECT *, passes + CASE WHEN left_over > 0 AND (left_over >= inside OR before < left_over) THEN 1 ELSE 0 END AS times FROM dc)
-SELECT doc_id, source, u.p AS pass, block, n_tokens FROM tm, unnest(range(0, times)) AS u(p)"""
+tu AS (SELECT source, block, inside, passes, rest, u.p AS pass, {hashed("u.p || ':' || block || ':' || source")} AS turn FROM bl, unnest(range(0, passes + 1)) AS u(p)),
+pl AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum(inside) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tu WINDOW o AS (PARTITION BY source, pass ORDER BY turn)),
+st AS (SELECT source, block, pass, place, inside, CASE WHEN pass < passes THEN inside ELSE rest - before END AS left_over FROM pl WHERE pass < passes OR rest - before > 0),
+hs AS (SELECT source, block, h, sum(n_tokens) AS n FROM r GROUP BY ALL),
+dc AS (SELECT source, block, h, coalesce(sum(n) OVER (PARTITION BY source, block ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hs)
+SELECT r.doc_id, r.named AS source, st.pass, r.block, st.place, r.n_tokens FROM r JOIN dc ON dc.source = r.source AND dc.block = r.block AND dc.h = r.h
+JOIN st ON st.source = r.source AND st.block = r.block WHERE left_over >= inside OR dc.before < left_over"""
 
 
 def _op1() -> str:

@@ -52,7 +52,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "pass", "block", "n_tokens")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -450,19 +450,19 @@ def skewed(spark, prose):
 
 def test_weights_meet_the_target(spark, prose, tmp_path):
     d = skewed(spark, prose)
-    out = mixing.mix(d, block_tokens=500)
+    out = mixing.mix(d, block_tokens=500, target_entropy=0.95, max_repeats=4.0, budget_share=1.0)
     total = sum(len(r.text.split()) for r in d.collect())
     by = {r.source: r.n for r in out.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     p = np.array(list(by.values())) / sum(by.values())
     entropy = -(p * np.log(p)).sum() / np.log(len(p))
     assert abs(sum(by.values()) - total) <= 30 * len(by)
-    assert mixing.TARGET_ENTROPY - 0.01 <= entropy <= mixing.TARGET_ENTROPY + 0.01
+    assert 0.94 <= entropy <= 0.96
     passes = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("pass").alias("m"), F.max("pass").alias("x")).collect()
-    assert all(r.n == r.m == r.x + 1 <= mixing.MAX_REPEATS + 1 for r in passes)
+    assert all(r.n == r.m == r.x + 1 <= 5 for r in passes)
     d.select("doc_id", "text", "source").coalesce(1).write.parquet(f"{tmp_path}/d")
     con = views("/nonexistent")
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
-    same(mixing.mix(d.select("doc_id", "text", "source")).select("doc_id", "source", "pass", "block", "n_tokens"), con, oracles.ORACLES["op10_temperature_mixing"])
+    assert same(mixing.mix(d, keep=["doc_id", "source"]), con, oracles.ORACLES["op10_temperature_mixing"]) > 0
 
 
 def test_repeats_are_bounded(spark, prose):
