@@ -44,11 +44,12 @@ def hex_sha256(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("tessera.shared.dir", None)
+    """The folder that driver and executors share; a temporary one only where the session names none and all of it runs
+    in this process. On a cluster without one this is an error, as a machine's own folder would lose what others write."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", where)
     return where.rstrip("/")
@@ -58,7 +59,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write the rows as Parquet under the shared folder and read them back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -72,16 +72,14 @@ NOT base_failed AND NOT coalesce(char_jsd > {quality.MAX_CHAR_JSD}, false) AND N
 
 
 def _op9() -> str:
-    lead, quarters = line_templates.LEAD, line_templates.QUARTERS
-    part = lambda k: f"array_to_string(t[{lead} + 1 + wd * {k} : {lead} + wd * {k + 1}], ' ')" if k < quarters - 1 else f"array_to_string(t[{lead} + 1 + wd * {k} :], ' ')"
-    parts = [f"p{k}" for k in range(quarters)]
-    key = lambda ps, tag: f"concat_ws(chr(1), CAST(n AS VARCHAR), lead, {', '.join(ps)}, '{tag}')"
-    keys = [f"SELECT doc_id, line, n, {key(parts, -1)} AS key FROM parts"] + [f"SELECT doc_id, line, n, {key([p for j, p in enumerate(parts) if j != k], k)} FROM parts WHERE n >= {line_templates.VARY_TOKENS}" for k in range(quarters)]
+    t = line_templates
     return rf"""WITH ln AS (SELECT doc_id, u.i - 1 AS line, string_split(text, chr(10))[u.i] AS l FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE text IS NOT NULL),
 tk AS (SELECT doc_id, line, list_transform(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
-parts AS (SELECT doc_id, line, n, array_to_string(t[1:{lead}], ' ') AS lead, {', '.join(f'{part(k)} AS p{k}' for k in range(quarters))} FROM (SELECT *, len(t) AS n, greatest(CAST(ceil((len(t) - {lead}) / {float(quarters)}) AS BIGINT), 1) AS wd FROM tk) WHERE n >= {line_templates.SHORT_TOKENS}),
-keys AS ({' UNION ALL '.join(keys)}),
-rec AS (SELECT key, min(doc_id) AS first_doc FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= {line_templates.MIN_TOKENS} THEN {line_templates.MIN_DOCS} ELSE {line_templates.SHORT_DOCS} END),
+nb AS (SELECT doc_id, line, t, len(t) AS n, CASE WHEN len(t) >= {t.WIDE_TOKENS} THEN 2 ELSE 1 END AS w FROM tk WHERE len(t) > 0),
+keys AS (SELECT doc_id, line, 'whole ' || array_to_string(t, ' ') AS key, CASE WHEN n < {t.MIN_TOKENS} THEN {t.SHORT_DOCS} ELSE {t.MIN_DOCS} END AS need FROM nb
+    UNION ALL SELECT doc_id, line, md5(concat_ws(chr(1), CAST(n AS VARCHAR), CAST(u.k AS VARCHAR), array_to_string(t[1 : w * u.k], ' '), array_to_string(t[w * u.k + w * w + 1 :], ' '))),
+    CASE WHEN n >= {t.LONG_TOKENS} THEN {t.MIN_DOCS} ELSE {t.VARY_DOCS} END FROM nb, unnest(range(0, CAST(ceil(n / CAST(w AS DOUBLE)) AS BIGINT) - w + 1)) AS u(k) WHERE n >= {t.VARY_TOKENS}),
+rec AS (SELECT key, min(doc_id) AS first_doc FROM keys GROUP BY key HAVING count(DISTINCT doc_id) >= max(need)),
 gone AS (SELECT DISTINCT doc_id, line FROM keys JOIN rec USING (key) WHERE doc_id > first_doc),
 kept AS (SELECT ln.doc_id, count(*) AS n_lines, count(gone.line) AS n_dropped, coalesce(string_agg(CASE WHEN gone.line IS NULL THEN l END, chr(10) ORDER BY ln.line), '') AS text FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.line = ln.line GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, k.text FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""

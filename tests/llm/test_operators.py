@@ -440,6 +440,63 @@ def test_short_lines_with_one_changing_word_recur(spark):
     assert out == {k: t if k == 0 or k > 11 else t.split("\n")[0] for k, t in enumerate(texts + few)}
 
 
+def templates_by_hand(texts):
+    """Which lines go, by document: all templates of all lines, word by word."""
+    found = {}
+    for doc, t in texts.items():
+        for i, line in enumerate((t or "").split("\n")):
+            w = ["<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            n, c = len(w), 2 if len(w) >= 12 else 1
+            keys = [(("whole", *w), 10 if n < 8 else 2)] if n else []
+            if n >= 5:
+                keys += [((n, k, *w[: c * k], "|", *w[c * k + c * c :]), 2 if n >= 16 else 10) for k in range(-(-n // c) - c + 1)]
+            for key, need in keys:
+                found.setdefault((key, need), set()).add((doc, i))
+    gone = {}
+    for (_, need), at in found.items():
+        docs = {d for d, _ in at}
+        if len(docs) >= need:
+            for d, i in at:
+                if d != min(docs):
+                    gone.setdefault(d, set()).add(i)
+    return gone
+
+
+def test_templates_against_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    vocabulary = [f"w{c}" for c in "abcdefgh"] + ["x1", "y22"]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 4, 5, 6, 7, 8, 11, 12, 13, 15, 16, 17, 24, 40]))] for _ in range(40)]
+
+    def line():
+        w = list(rng.choice(bases))
+        if rng.random() < 0.6:  # a field of one to five tokens, at any place
+            k, m = rng.randrange(len(w)), rng.choice([1, 1, 2, 3, 4, 5])
+            w[k : k + m] = [rng.choice("klmnop") * 3 for _ in w[k : k + m]]
+        return rng.choice([" ", "  ", "\t"]).join(w)
+
+    texts = {f"d{k:03d}": "\n".join(line() if rng.random() < 0.9 else "" for _ in range(rng.randint(0, 12))) for k in range(150)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    gone = templates_by_hand(texts)
+    want = {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(k, ())) for k, t in texts.items()}
+    got = {r.doc_id: r for r in line_templates.report(d).collect()}
+    assert {k: r.text for k, r in got.items()} == want and 200 < sum(r.n_dropped for r in got.values()) < sum(r.n_lines for r in got.values()) - 100
+    monkeypatch.setattr(line_templates, "small", lambda df, rows: df.hint("merge"))
+    assert {r.doc_id: r.text for r in line_templates.report(d).collect()} == want
+
+
+def test_unique_words_stay(spark, prose):
+    """Two lines that share 303 words and then differ in 97 are no copies; nor are two that differ in two places."""
+    shared = prose(303, 1)
+    a, b = f"{shared} {prose(97, 2)}", f"{shared} {prose(97, 3)}"
+    far = a.split()
+    far[10], far[300] = "one", "two"
+    near = a.split()
+    near[150:153] = ["three", "more", "words"]
+    texts = [a, b, " ".join(far), " ".join(near)]
+    out = {r.doc_id: r.text for r in line_templates.report(docs_of(spark, texts)).collect()}
+    assert out == {0: a, 1: b, 2: texts[2], 3: ""}
+
+
 # --- mixing
 
 
