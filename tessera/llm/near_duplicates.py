@@ -1,17 +1,24 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification; near-duplicate classes.
 
 1. Copies (equal word sequences) become one text. Each text's set of five-word shingles is hashed and signed: TREES
-   signatures of MAX_DEPTH minima, each a path of a prefix trie.
-2. Two texts meet in a trie if their paths share a prefix. Prefixes are shortened from MAX_DEPTH on until a pair at the
-   threshold meets in some tree with at least the target recall; the nodes of that depth are the buckets. A bucket
-   yields one edge per text, to its smallest text, and the components of these edges hold all pairs that ever met.
-3. Components are verified exactly: texts are dealt by size band (sizes that can reach the threshold are in the same
-   or the next band) into blocks of bounded size, and each pair of blocks is one task that counts intersections as a
-   matrix product. It returns for each text its number of links and the root of its local group, never pairs.
+   signatures of MAX_DEPTH minima, each a path of a prefix trie, and a sketch of SKETCH bytes of the minima.
+2. The forest is descended from MAX_DEPTH on. The texts that share a prefix in a tree are a bucket, and a bucket is
+   compared by sketches: pairs that look similar (SLACK below the threshold, five standard errors, and of sizes that
+   can reach it) are joined to a representative, the smallest text that they reach in the bucket. A bucket returns a
+   row per text, never pairs. A pair of similarity s meets at depth k with 1 - (1 - s^k)^TREES, so each pair that is
+   seen also tells how many like it are not: from that each text's recall is estimated. Texts under the target recall
+   shorten their prefixes by one, and buckets of that depth are read only where such a text is in them; so on to
+   MIN_DEPTH. If the corpus as a whole is under the target, all texts shorten theirs.
+3. The groups of texts joined so are verified exactly: a group's texts are dealt by size band (sizes that can reach the
+   threshold are in the same or the next band) into blocks of bounded size, and each pair of blocks is one task that
+   counts intersections as a matrix product. It returns for each text its number of links and a representative.
 4. The classes are the components of the verified links.
 
-Style: signing and verifying are array work in numpy, in Arrow batches and in grouped batches of bounded size; joins,
-buckets and components are DataFrame operations, with tables in the shared folder between rounds.
+A text is dealt by hash into blocks wherever a bucket or a group is large, and joins meet tables that are written, so
+that a key which is everywhere can be split. Rounds are bounded.
+
+Style: signing, comparing and verifying are array work in numpy, in Arrow batches and in grouped batches of bounded
+size; buckets, joins and components are DataFrame operations, with tables in the shared folder between rounds.
 
 Defined cases: null and empty texts (or texts without a word) are copies of each other only if they are equal, and
 link to nothing; a text of under five words is one shingle; equal rows are copies; a class is named by its smallest
@@ -34,20 +41,21 @@ from tessera.llm.common import discard, ship, small, stored, unpacked, whole_row
 
 ship(__name__)
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, RECALL = 40, 8, 0.99999
+TREES, MAX_DEPTH, MIN_DEPTH, RECALL = 40, 8, 5, 0.9999
+#: A path has two bytes of each minimum, a sketch one byte of each of the first ones.
+LEVEL_BYTES, SKETCH, SLACK = 2, 128, 0.19
 #: Bounds of a block: texts and shingles. Size bands grow by a little more than 1 / THRESHOLD.
-BLOCK_TEXTS, BLOCK_SHINGLES, BAND = 512, 400_000, 1.26
+BLOCK_TEXTS, BLOCK_SHINGLES, BAND = 128, 400_000, 1.26
+#: Components shrink by halves at least; so many rounds are enough for any number of texts.
+MAX_ROUNDS = 64
 #: All bytes but letters, digits and non-ASCII become a space, A-Z become a-z.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = MAX_DEPTH) -> int:
-    """Shorten the prefixes until pairs at the threshold meet in some tree with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def meets(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """The probability that a pair of this similarity shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -93,70 +101,170 @@ def paths(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def nodes(low: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The trie node of each tree at a depth, as a hash of tree and prefix."""
-    p = low.reshape(trees, -1)[:, :depth].astype(np.uint64)
-    h = np.arange(1, trees + 1, dtype=np.uint64) * MIX
-    for k in range(depth):
-        h = (h ^ p[:, k]) * MIX
-        h ^= h >> np.uint64(31)
-    return h.view(np.int64)
-
-
-def signed(docs: DataFrame, doc_id: str, text: str, depth: int, trees: int = TREES, deepest: int = MAX_DEPTH) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text as it is), key (its words), size, nodes: one row per document."""
+def signed(docs: DataFrame, doc_id: str, text: str, trees: int = TREES, deepest: int = MAX_DEPTH) -> DataFrame:
+    """doc_id, h1, h2 (hashes of the text as it is), key (its words), size, path (of all trees), sketch: a row per document."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("h1"), F.hash(t).alias("h2"), t.alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients(trees * deepest)
-        a, b = (x.reshape(trees, deepest)[:, :depth].ravel() for x in (a, b))  # deeper levels aren't read
         known: dict = {}
         for batch in batches:
             seen: dict = {}
-            keys, sizes, found = [], [], []
+            keys, found = [], []
             for s in batch.column("text").to_pylist():
                 w = word_list(s)
                 key = hashlib.md5(b" ".join(w) if w else b"\x00" + s.encode("utf-8", "surrogatepass")).hexdigest()
                 if key not in seen:
                     sh = shingles(w, known)
-                    seen[key] = (len(sh), nodes(paths(sh, a, b), trees, depth) if len(sh) else [])
+                    low = paths(sh, a, b)
+                    seen[key] = (len(sh), low.astype(">u2").tobytes(), low[:SKETCH].astype(np.uint8).tobytes()) if len(sh) else (0, b"", b"")
                 keys.append(key)
-                sizes.append(seen[key][0])
-                found.append(seen[key][1])
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "h1", "h2")), pa.array(keys), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "key", "size", "nodes"])
+                found.append(seen[key])
+            cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "h1", "h2")), pa.array(keys, pa.string()), *cols], names=["doc_id", "h1", "h2", "key", "size", "path", "sketch"])
+
+    return d.mapInArrow(sign, f"doc_id {dict(d.dtypes)['doc_id']}, h1 bigint, h2 int, key string, size int, path binary, sketch binary")
+
+
+def nodes(texts: DataFrame, depth: int, trees: int = TREES, deepest: int = MAX_DEPTH) -> DataFrame:
+    """id, node, open: the trie node of every tree in which a text (id, path, open) stands at a depth."""
+    prefix = lambda t: F.xxhash64(t, F.substring("path", t * (LEVEL_BYTES * deepest) + 1, F.lit(LEVEL_BYTES * depth)))
+    return texts.where(F.octet_length("path") > 0).select("id", "open", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), prefix)).alias("node"))
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """members (id, node, n, ...) once for each pair of blocks of their bucket that they are in: group, side (2 where
+    all pairs count, else pairs of side 0 with side 1)."""
+    nb = F.ceil(F.col("n") / block).cast("int")
+    m = members.withColumn("_nb", nb).withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    i = F.col("_i")
+    pair = lambda j: F.struct(F.xxhash64("node", F.least(i, j), F.greatest(i, j)).alias("group"), F.when(i == j, 2).otherwise((i > j).cast("int")).alias("side"))
+    m = m.withColumn("_g", F.explode(F.transform(F.sequence(F.lit(0), F.col("_nb") - 1), pair)))
+    return m.select("id", "size", "sketch", "_g.group", "_g.side")
+
 
-    return d.mapInArrow(sign, f"doc_id {dict(d.dtypes)['doc_id']}, h1 bigint, h2 int, key string, size int, nodes array<bigint>")
+def look_alike(group: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray, cut: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and estimated similarities of the pairs within groups (rows sorted by group) that look similar."""
+    i, j, s = [], [], []
+    for d in range(1, len(group)):
+        at = np.flatnonzero(group[:-d] == group[d:])
+        if not len(at):
+            break
+        small_, large = np.minimum(size[at], size[at + d]), np.maximum(size[at], size[at + d])
+        at = at[((side[at] == 2) | (side[at] != side[at + d])) & (small_ * 1000 >= round(threshold * 1000) * large)]
+        for k in range(0, len(at), 50_000):
+            a = at[k : k + 50_000]
+            like = (sketch[a] == sketch[a + d]).sum(axis=1) / sketch.shape[1]
+            near = like >= cut
+            i.append(a[near])
+            j.append(a[near] + d)
+            s.append(like[near])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *i]), np.concatenate([none, *j]), np.concatenate([np.empty(0), *s])
+
+
+def reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each place the smallest id that it reaches over the pairs (i, j)."""
+    root = ids.copy()
+    while len(i):
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        if (root == before).all():
+            break
+    return root
+
+
+def compared(rows: DataFrame, depth: int, threshold: float, trees: int = TREES) -> DataFrame:
+    """id, root, seen, all: the representative of each text that looks similar to another one in its group, and the
+    estimated numbers of such pairs that meet at this depth and that there are, each pair's share over the trees."""
+    cut = threshold - SLACK
+
+    def judge(group: np.ndarray, ids: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        i, j, like = look_alike(group, side, size, sketch, cut, threshold)
+        seen, every = np.zeros(len(ids)), np.zeros(len(ids))
+        real = like >= threshold
+        weight = 1 / (trees * like[real] ** depth)
+        for at in (i[real], j[real]):
+            np.add.at(every, at, weight)
+            np.add.at(seen, at, weight * meets(like[real], depth, trees))
+        root = reached(ids, i, j)
+        hit = np.unique(np.concatenate([i, j]))
+        return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (ids, root, seen, every)], names=["id", "root", "seen", "all"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "id", "side", "size")]
+            cols.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(b.num_rows, -1))
+            if held:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
+            held = [c[last:] for c in cols]
+            if last:
+                yield judge(*[c[:last] for c in cols])
+        if held:
+            yield judge(*held)
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "id bigint, root bigint, seen double, all double")
+
+
+def forest(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int | None = None) -> DataFrame:
+    """id, root: an edge from each text to its representatives in the buckets of the forest."""
+    n_open, open_, found = 0, None, []
+    for depth in range(MAX_DEPTH, MIN_DEPTH - 1, -1):
+        if open_ is None:
+            marked = texts.withColumn("open", F.lit(True))
+        else:
+            marked = texts.join(small(open_.withColumn("open", F.lit(True)), n_open), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        at = nodes(marked, depth)
+        buckets = stored(at.groupBy("node").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("node", "n"), "buckets")
+        members = at.select("id", "node").join(buckets, "node").join(texts.select("id", "size", "sketch"), "id")
+        rows = compared(in_blocks(members, block or BLOCK_TEXTS), depth, threshold)
+        edges = stored(rows.groupBy("id", "root").agg(F.sum("seen").alias("seen"), F.sum("all").alias("all")), "edges")
+        found.append(edges.select("id", "root"))
+        of_text = edges.groupBy("id").agg(F.sum("seen").alias("seen"), F.sum("all").alias("all")).where(F.col("seen") < recall * F.col("all")).select("id")
+        seen, every = edges.agg(F.sum("seen"), F.sum("all")).first()
+        if seen is None or not every:
+            break
+        if seen < recall * every:
+            open_ = None
+        else:
+            open_ = stored(of_text, "open")
+            n_open = open_.count()
+            if not n_open:
+                break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.where("id <> root").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """id, root: the smallest id of each component, for the ids that have an edge (columns a, b).
 
     Alternating stars: every node hooks its larger, then its smaller neighbours to its smallest one, until nothing
-    changes. Each round is a few aggregations and joins of at most as many edges as before.
+    changes. Each round is a few aggregations and joins of at most as many edges as before. A node's smallest neighbour
+    is written before it is joined, so that the rows of a node with very many neighbours can be split.
     """
     order = lambda d, a, b: d.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now, before = stored(order(edges, F.col("a"), F.col("b")), name), None
-    while True:
+    for _ in range(MAX_ROUNDS):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = stored(hooked.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
-        discard(now)
+        low = stored(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "low")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        hooked = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stored(hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        for done in (now, low, large, least):
+            discard(done)
         now = after
-
-
-def meet(texts: DataFrame) -> DataFrame:
-    """a, b: each text of a bucket with two or more, and the bucket's smallest text."""
-    at = texts.select("id", F.explode("nodes").alias("node"))
-    shared = at.groupBy("node").agg(F.min("id").alias("b"), F.max("id").alias("_top")).where("b < _top").select("node", "b")
-    return at.join(shared, "node").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def dealt(members: DataFrame, block_texts: int = BLOCK_TEXTS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -165,11 +273,11 @@ def dealt(members: DataFrame, block_texts: int = BLOCK_TEXTS, block_shingles: in
     A component that fits one block is one group. Else its texts are dealt by size band, then by hash into blocks;
     a text meets every block of its own band and of the bands beside it.
     """
-    whole = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_s"))
+    whole = stored(members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_s")), "group-sizes")
     m = members.join(whole, "root")
     fits = (F.col("_n") <= block_texts) & (F.col("_s") <= block_shingles)
     m = m.withColumn("band", F.when(fits, -1).otherwise(F.floor(F.log("size") / float(np.log(BAND))).cast("int"))).drop("_n", "_s")
-    blocks = m.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / block_texts, F.sum("size") / block_shingles)).cast("int").alias("nb"))
+    blocks = stored(m.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / block_texts, F.sum("size") / block_shingles)).cast("int").alias("nb")), "group-blocks")
     beside = lambda name, step: blocks.select("root", (F.col("band") - step).alias("band"), F.col("nb").alias(name))
     # a component's single group has band -1, and bands beside it are never there
     m = m.join(blocks, ["root", "band"]).join(beside("up", 1), ["root", "band"], "left").join(beside("down", -1), ["root", "band"], "left")
@@ -260,19 +368,22 @@ def linked(docs: DataFrame, text: str, members: DataFrame, n_members: int, thres
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(documents, texts): doc_id, h1, h2, key of every document; key, copies, links, class (struct doc_id, h1, h2 of
     the class's first document) of every distinct text."""
-    of_doc = stored(signed(docs, doc_id, text, depth_for(recall, threshold)), "signed")
+    of_doc = stored(signed(docs, doc_id, text), "signed")
     first = F.struct("doc_id", "h1", "h2")
-    texts = of_doc.groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("nodes").alias("nodes"))
+    texts = of_doc.groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("size", "path", "sketch")])
     texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), "texts")  # ids are fixed once written
-    candidates = components(meet(texts), "candidates")
-    members = stored(candidates.join(texts, "id").select("id", "root", "size", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2")), "members")
+    edges = forest(texts.select("id", "size", "path", "sketch"), threshold, recall)
+    candidates = stored(components(edges.select(F.col("id").alias("a"), F.col("root").alias("b")), "candidates"), "groups")
+    members = stored(candidates.join(texts.select("id", "size", "first"), "id").select("id", "root", "size", F.col("first.h1").alias("h1"), F.col("first.h2").alias("h2")), "members")
     links = stored(linked(docs, text, members, members.count(), threshold), "links")
     roots = components(links.where("id <> local").select(F.col("id").alias("a"), F.col("local").alias("b")), "classes")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     t = texts.select("id", "key", "first", "copies").join(roots, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
     t = stored(t, "linked-texts")
-    named = t.groupBy("root").agg(F.min("first").alias("class"))
-    return of_doc.select("doc_id", "h1", "h2", "key"), t.join(named, "root").select("key", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "class")
+    # written, so that the texts of a class, and then the copies of a text, can be split in the joins
+    named = stored(t.groupBy("root").agg(F.min("first").alias("class")), "named")
+    named_texts = stored(t.join(named, "root").select("key", "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "class"), "named-texts")
+    return of_doc.select("doc_id", "h1", "h2", "key"), named_texts
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

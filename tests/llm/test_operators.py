@@ -398,10 +398,40 @@ def test_blocks_of_any_size_give_the_same(spark, prose, monkeypatch):
     check_near(near_duplicates.report(docs_of(spark, texts)), texts)
 
 
-def test_depth_reaches_the_recall():
-    d = near_duplicates.depth_for()
-    assert 1 - (1 - 0.8**d) ** near_duplicates.TREES >= near_duplicates.RECALL
-    assert 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES < near_duplicates.RECALL
+def test_buckets_of_any_size_give_the_same(spark, prose, monkeypatch):
+    texts = near_fixture(prose)
+    monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 2)
+    check_near(near_duplicates.report(docs_of(spark, texts)), texts)
+
+
+def at_the_threshold(pairs):
+    """Pairs of texts of similarity 0.8 to 0.83, each pair of words of its own."""
+    rng, texts = random.Random(5), []
+    for k in range(pairs):
+        n = rng.randint(30, 250)
+        w = [f"p{k}w{j}" for j in range(n)]
+        v = w[: n - int(0.2 * (n - 4))]
+        assert 0.8 <= jaccard(" ".join(w), " ".join(v)) <= 0.84
+        texts += [" ".join(w), " ".join(v)]
+    return texts
+
+
+def test_measured_recall_at_the_threshold(spark):
+    texts = at_the_threshold(400)
+    got = {r.doc_id: r for r in near_duplicates.report(docs_of(spark, texts)).collect()}
+    found = sum(got[k].class_id == got[k + 1].class_id == k and got[k].n_links == 1 for k in range(0, len(texts), 2))
+    assert found >= 399  # 0.9999 of such pairs by the estimate
+
+
+def test_prefixes_are_shortened_where_the_recall_needs_it(spark, monkeypatch):
+    depths = []
+    plain = near_duplicates.nodes
+    monkeypatch.setattr(near_duplicates, "nodes", lambda texts, depth: depths.append(depth) or plain(texts, depth))
+    near_duplicates.report(docs_of(spark, at_the_threshold(20))).collect()
+    loose, depths[:] = list(depths), []
+    close = [" ".join([f"p{k}w{j}" for j in range(300)]) + f" {c}" for k in range(20) for c in "ab"]  # far above the threshold
+    near_duplicates.report(docs_of(spark, close)).collect()
+    assert loose[:2] == [8, 7] and depths == [8]
 
 
 def test_components_of_chains(spark):
