@@ -21,6 +21,8 @@ RAW, ZSTD, LEVEL, MAX_CHUNK = 0, 1, 19, 2**30
 #: A dictionary needs this many bytes of samples, and is a tenth of them within these bounds; so many tiles are read.
 DICT_MIN_TOTAL, DICT_MIN, DICT_MAX, DICT_TILES = 512, 256, 65536, 10
 BLOCK = "struct<flag:int,data:binary>"
+#: Bytes of tiles that are worked on at a time: their residuals under all filters are some 60 times as much.
+BATCH_BYTES = 2**22
 
 
 @dataclass(frozen=True)
@@ -203,6 +205,74 @@ def all_restored(residuals: Column, bpp: int = 1, stride: int = 16) -> Column:
     return _lists(run, "array<int>")(residuals)
 
 
+def sums(values: np.ndarray) -> tuple[int, int]:
+    """The sum of the values and of (place + 1) * value, so that order counts."""
+    v = np.asarray(values).astype(np.int64)
+    return int(v.sum()), int((v * np.arange(1, len(v) + 1)).sum())
+
+
+def _sums(tiles_to_parts, *arguments) -> Column:
+    """array<bigint>: the sums of each part that a function over the tiles of a batch makes, by tile."""
+
+    def run(tiles):
+        return [np.array([x for part in parts for x in sums(part)], np.int64) for parts in tiles_to_parts(tiles)]
+
+    return _lists(run, "array<bigint>")(*arguments)
+
+
+def row_sums(tile: Column, code: int, bpp: int = 1, stride: int = 16) -> Column:
+    """The sums of every row of a filter's residuals, one after the other."""
+
+    def parts(tiles):
+        stack = Stack(tiles, stride, bpp)
+        return [x.reshape(-1, stride) for x in stack.split(stack.residuals(code))]
+
+    return _sums(parts, tile)
+
+
+def filter_sums(tile: Column, bpp: int = 1, stride: int = 16, inverse: bool = False) -> Column:
+    """The sums of the residuals under all 16 filters, or with inverse of the bytes that come back from them."""
+
+    def parts(tiles):
+        stack = Stack(tiles, stride, bpp)
+        by_code = [stack.split(stack.residuals(k)) for k in range(16)]
+        if inverse:
+            by_code = [fold(r, k, stride, bpp, True) for k, r in enumerate(by_code)]
+        return [[r[t] for r in by_code] for t in range(len(tiles))]
+
+    return _sums(parts, tile)
+
+
+def weighted_sums(tile: Column, bpp: int = 1, stride: int = 16, inverse: bool = False) -> Column:
+    """The sums of the weighted residuals of a tile, or with inverse of the bytes that come back from them."""
+
+    def parts(tiles):
+        r = fold(tiles, 15, stride, bpp, False)
+        return [[x] for x in (fold(r, 15, stride, bpp, True) if inverse else r)]
+
+    return _sums(parts, tile)
+
+
+def byte_sums(data: Column) -> Column:
+    """The sums of the bytes of a binary value."""
+    return _sums(lambda tiles: [[t] for t in tiles], data)
+
+
+def shuffle(data: bytes, bpp: int) -> bytes:
+    """All first bytes of the samples, then all second ones, and so on; what is left over after whole samples stays."""
+    n = len(data) // bpp * bpp
+    return np.frombuffer(data, np.uint8, n).reshape(-1, bpp).T.tobytes() + data[n:]
+
+
+def unshuffle(data: bytes, bpp: int) -> bytes:
+    n = len(data) // bpp * bpp
+    return np.frombuffer(data, np.uint8, n).reshape(bpp, -1).T.tobytes() + data[n:]
+
+
+def shuffled_bytes(data: Column, bpp: int, inverse: bool = False) -> Column:
+    return _batch(lambda tiles: [(unshuffle if inverse else shuffle)(t, bpp) for t in tiles])(data)
+
+
 def all_scores(tile: Column, bpp: int = 1, stride: int = 16) -> Column:
     """array of 16 (sum of residual bytes, sum of row entropies) by code, as numbers one after the other."""
 
@@ -264,8 +334,13 @@ def grouped(parts: list[tuple[bytes, int, int]], fn) -> list:
     for k, (_, stride, bpp) in enumerate(parts):
         groups.setdefault((stride, bpp), []).append(k)
     for (stride, bpp), at in groups.items():
-        for k, v in zip(at, fn([parts[k][0] for k in at], stride, bpp), strict=True):
-            out[k] = v
+        while at:  # so many parts at a time that their arrays stay small
+            size, n = 0, 0
+            while n < len(at) and (not n or size + len(parts[at[n]][0]) <= BATCH_BYTES):
+                size, n = size + len(parts[at[n]][0]), n + 1
+            for k, v in zip(at[:n], fn([parts[k][0] for k in at[:n]], stride, bpp), strict=True):
+                out[k] = v
+            at = at[n:]
     return out
 
 

@@ -14,16 +14,6 @@ def byte_values(data: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
-def document_tiles(docs: DataFrame, stride: int = STRIDE, size: int = TILE_BYTES) -> DataFrame:
-    """img_id, data, v: the first bytes of every text as one tile of whole rows, as binary and as array<int>; texts
-    under one row have none. Whoever reads only one of the two forms pays for that one."""
-    data = F.substring(F.encode(F.substring("text", 1, size), "UTF-8"), 1, size)
-    d = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("img_id"), data.alias("d"))
-    n = F.octet_length("d") - F.octet_length("d") % stride
-    d = d.where(F.octet_length("d") >= stride).select("img_id", F.substring("d", F.lit(1), n).alias("data"))
-    return d.select("img_id", "data", byte_values(F.col("data")).alias("v"))
-
-
 def whole_tiles(docs: DataFrame, stride: int = STRIDE, size: int = TILE_BYTES) -> DataFrame:
     """img_id, tile_id, data: every whole text as tiles of `size` bytes in order, its last row filled up with zeros;
     empty texts have none. The pieces are cut before they are exploded, so that no tile carries its whole text."""
@@ -35,6 +25,19 @@ def whole_tiles(docs: DataFrame, stride: int = STRIDE, size: int = TILE_BYTES) -
     return d.select("img_id", F.inline(tiles))
 
 
+def keyed_tiles(docs: DataFrame) -> DataFrame:
+    """img_id (struct of img_id and tile_id), data, v: every tile of every whole text, as binary and as array<int>.
+    Whoever reads only one of the two forms pays for that one."""
+    t = whole_tiles(docs).select(F.struct("img_id", "tile_id").alias("img_id"), "data")
+    return t.select("img_id", "data", byte_values(F.col("data")).alias("v"))
+
+
+def whole_images(docs: DataFrame, width: int = 256) -> DataFrame:
+    """img_id, width, height, pixels: every whole text as one RGBA image, its last row filled up with zeros."""
+    t = whole_tiles(docs, 4 * width, 2**30)
+    return t.select("img_id", F.lit(width).alias("width"), (F.octet_length("data") / (4 * width)).cast("int").alias("height"), F.col("data").alias("pixels"))
+
+
 def tile_rows(tiles: DataFrame, stride: int = STRIDE) -> DataFrame:
     """img_id, y, cur, up, up2: every row of every tile with the two rows above it (empty where there is none)."""
     height = F.floor(F.size("v") / stride).cast("int")

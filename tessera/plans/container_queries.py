@@ -11,26 +11,44 @@ from tessera.functions import container as K
 from tessera.functions.color import bytes_per_pixel
 from tessera.operators import codec, raster
 from tessera.plans import lifecycle as L
-from tessera.plans.filter_queries import cells_sql, checksum, tiles, whole_tiles
+from tessera.plans.filter_queries import TILES, cells_sql, flat, flat_sql, tiles, whole_tiles
 from tessera.plans.options import EncodeOptions
-from tessera.plans.tables import table
+from tessera.plans.tables import shared_dir, spread, table
 from tessera.sources import containers
 from tessera.streaming import chunks as S
 
 
+WIDTH = 256
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img_id, width 8, height, RGBA pixels: rows of 32 bytes of the document tiles."""
-    t = tiles(spark, sf_dir).where(F.octet_length("data") >= 32)
-    rows = F.floor(F.octet_length("data") / 32).cast("int")
-    return t.select("img_id", F.lit(8).alias("width"), rows.alias("height"), F.substring("data", F.lit(1), rows * 32).alias("pixels"))
+    """img_id, width, height, RGBA pixels: an image of every whole text, WIDTH pixels wide."""
+    return raster.whole_images(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), WIDTH)
 
 
+_ROW = 4 * WIDTH
+#: rows(img_id, height, y, hx): the rows of the images as hexadecimal digits, in SQL.
+ROWS = f"""WITH raw AS (SELECT doc_id AS img_id, hex(encode(text)) AS hx FROM documents WHERE text <> ''),
+    sized AS (SELECT img_id, hx, (length(hx) // 2 + {_ROW - 1}) // {_ROW} AS height FROM raw),
+    lines AS (SELECT img_id, height, y.y AS y, rpad(substr(hx, y.y * {2 * _ROW} + 1, {2 * _ROW}), {2 * _ROW}, '0') AS hx FROM sized, unnest(range(0, height)) AS y(y))"""
+_hex = lambda k: f"(instr('0123456789ABCDEF', substr(hx, {k} + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hx, {k} + 2, 1)) - 1"
 #: img_id, height, byte_check of the images, in SQL.
-IMAGES = cells_sql() + ", im AS (SELECT img_id, CAST(n // 32 AS BIGINT) AS height, CAST(sum((i + 1) * v) AS BIGINT) AS pixel_check FROM cells WHERE n >= 32 AND i < n // 32 * 32 GROUP BY ALL)"
+IMAGES = ROWS + f", im AS (SELECT img_id, CAST(height AS BIGINT) AS height, CAST(sum((y * {_ROW} + i.i + 1) * ({_hex('2 * i.i')})) AS BIGINT) AS pixel_check FROM lines, unnest(range(0, {_ROW})) AS i(i) GROUP BY img_id, height)"
+
+
+def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img_id, width, height, RGBA pixels: an image of every whole text with a gray, opaque pixel for each byte."""
+    t = raster.whole_tiles(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), WIDTH, 2**30)
+    pixels = F.unhex(F.regexp_replace(F.hex("data"), "(..)", "$1$1$1FF"))
+    return t.select("img_id", F.lit(WIDTH).alias("width"), (F.octet_length("data") / WIDTH).cast("int").alias("height"), pixels.alias("pixels"))
+
+
+_place = f"(4 * (img_id % {TILES} * {WIDTH} + i))"
+GRAY_IMAGES = cells_sql(1, WIDTH, WIDTH) + f" SELECT img_id // {TILES} AS img_id, CAST(count(*) // {WIDTH} AS BIGINT) AS height, CAST(sum((3 * {_place} + 6) * v + ({_place} + 4) * 255) AS BIGINT) AS pixel_check FROM cells GROUP BY 1"
 
 
 def pixel_check(column: str = "pixels"):
-    return checksum(raster.byte_values(F.col(column)))
+    return F.get(codec.byte_sums(F.col(column)), F.lit(1))
 
 
 def decoded(d: DataFrame) -> DataFrame:
@@ -151,8 +169,11 @@ def meta_chdr(spark, sf_dir):
 
 
 def be_read(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.substring("text", 1, 8), "UTF-8").alias("d"))
-    return d.select("doc_id", K.be_number(F.col("d"), 0, 2).alias("u16"), K.be_number(F.col("d"), 2, 4).alias("u32"))
+    """Every text as big-endian numbers: of 2 bytes at each place, of 4 at each second one."""
+    d = raster.whole_tiles(table(spark, sf_dir, "documents"), 4)
+    at = lambda n: F.transform(F.sequence(F.lit(0), (F.octet_length("data") / n).cast("int") - 1), lambda k: K.be_number(F.col("data"), k * n, n))
+    total = lambda n: F.aggregate(at(n), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return d.groupBy(F.col("img_id").alias("doc_id")).agg(F.sum(total(2)).alias("u16"), F.sum(total(4)).alias("u32"))
 
 
 def header_validation(spark, sf_dir):
@@ -193,12 +214,12 @@ def budget_used(spark, sf_dir):
 
 
 def compress_fallback(spark, sf_dir):
-    """Blocks compressed and unpacked again: the flag says which is smaller, the bytes come back."""
+    """Blocks compressed and unpacked again: the bytes that come back, and whether the smaller form was kept."""
     t = tiles(spark, sf_dir).select("img_id", F.col("data").alias("raw"))
     c = t.select("img_id", "raw", codec.compress_block(F.col("raw")).alias("c"))
-    b = c.select("img_id", "raw", "c", codec.decompress_block(F.col("c.flag"), F.col("c.data"), F.octet_length("raw")).alias("d"))
+    b = c.select("img_id", "raw", "c", codec.decompress_block(F.col("c.flag"), F.col("c.data"), F.octet_length("raw"))["data"].alias("d"))
     kept = F.when(F.col("c.flag") == 1, F.octet_length("c.data") < F.octet_length("raw")).otherwise(F.col("c.data") == F.col("raw"))
-    return b.select("img_id", F.octet_length("raw").cast("bigint").alias("n"), kept.alias("kept_smaller"), (F.col("d.data") == F.col("raw")).alias("same"))
+    return b.select("img_id", F.octet_length("d").cast("bigint").alias("n"), kept.alias("kept_smaller"), pixel_check("d").alias("byte_check"))
 
 
 SAMPLE_DICTIONARY = b"".join(bytes([65 + k % 26, 97 + k % 26, 32]) * 3 for k in range(80))
@@ -207,8 +228,8 @@ SAMPLE_DICTIONARY = b"".join(bytes([65 + k % 26, 97 + k % 26, 32]) * 3 for k in
 def compress_fallback_dict(spark, sf_dir):
     t = tiles(spark, sf_dir).select("img_id", F.col("data").alias("raw"))
     c = t.select("img_id", "raw", codec.compress_block(F.col("raw"), dictionary=SAMPLE_DICTIONARY).alias("c"))
-    b = c.select("img_id", "raw", codec.decompress_block(F.col("c.flag"), F.col("c.data"), F.octet_length("raw"), dictionary=SAMPLE_DICTIONARY).alias("d"))
-    return b.select("img_id", (F.col("d.data") == F.col("raw")).alias("same"))
+    b = c.select("img_id", codec.decompress_block(F.col("c.flag"), F.col("c.data"), F.octet_length("raw"), dictionary=SAMPLE_DICTIONARY)["data"].alias("d"))
+    return b.select("img_id", F.octet_length("d").cast("bigint").alias("n"), pixel_check("d").alias("byte_check"))
 
 
 def decompress_limited(spark, sf_dir):
@@ -216,7 +237,8 @@ def decompress_limited(spark, sf_dir):
     t = tiles(spark, sf_dir).select("img_id", F.col("data").alias("raw"))
     c = t.select("img_id", "raw", codec.compress_block(F.col("raw")).alias("c"))
     n = F.octet_length("raw")
-    flag, limit = F.when(F.col("img_id") % 3 == 2, 9).otherwise(F.col("c.flag")), F.when(F.col("img_id") % 3 == 1, n - 1).otherwise(n)
+    of = F.col("img_id.img_id") + F.col("img_id.tile_id")
+    flag, limit = F.when(of % 3 == 2, 9).otherwise(F.col("c.flag")), F.when(of % 3 == 1, n - 1).otherwise(n)
     return c.select("img_id", F.coalesce(codec.decompress_block(flag, F.col("c.data"), limit)["error"], F.lit("")).alias("error"))
 
 
@@ -231,13 +253,13 @@ def append_idat(spark, sf_dir):
     c = L.chunks(L.encode(images(spark, sf_dir), EncodeOptions(tile_rows=4, level=5)))
     head = F.max(F.when(F.col("type") == K.IHDR, K.be_number(F.col("data"), 11, 1)))
     used = F.max(F.when(F.col("type") == K.IDAT, F.col("flag")))
-    return c.groupBy("img_id").agg(F.sum((F.col("type") == K.IDAT).cast("bigint")).alias("n_idat"), (head == used).alias("bit_matches"))
+    return c.groupBy("img_id").agg(F.sum((F.col("type") == K.IDAT).cast("bigint")).alias("n_idat"), (head == used).alias("bit_matches"), F.max(F.when(F.col("type") == K.IHDR, K.be_number(F.col("data"), 4, 4))).alias("height"))
 
 
 def scan_image(spark, sf_dir):
     """PNG files of the images, written to the shared folder and read by Spark's image source."""
     containers.register(spark)
-    where = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-images").removeprefix("file://") + f"/png-{uuid.uuid4().hex}"
+    where = shared_dir(spark).removeprefix("file://") + f"/png-{uuid.uuid4().hex}"
     containers.write_files(containers.png_files(images(spark, sf_dir)), where, "png")
     d = containers.image_files(spark, where)
     return d.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("img_id"), F.col("height").cast("bigint").alias("height"), pixel_check().alias("pixel_check"))
@@ -248,16 +270,10 @@ def sink_image(spark, sf_dir):
     return p.select("img_id", K.be_number(F.col("content"), 16, 4).alias("width"), K.be_number(F.col("content"), 20, 4).alias("height"))
 
 
-def whole_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img_id, width 8, height, RGBA pixels: an image of every whole text, its last row of 32 bytes filled up."""
-    t = raster.whole_tiles(table(spark, sf_dir, "documents"), 32, 2**30)
-    return t.select("img_id", F.lit(8).alias("width"), (F.octet_length("data") / 32).cast("int").alias("height"), F.col("data").alias("pixels"))
-
-
 def streamed(spark: SparkSession, pictures: DataFrame) -> DataFrame:
     """Chunks of images as a stream of files in three batches, and the last state of every image; chunks, states and
     checkpoints lie in the shared folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-streams") + f"/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     c = L.chunks(L.encode(pictures, EncodeOptions(tile_rows=2, level=3))).select("img_id", "type", "data")
     files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
     c.repartition(files, "img_id").write.parquet(f"{root}/in")
@@ -271,13 +287,7 @@ def streamed(spark: SparkSession, pictures: DataFrame) -> DataFrame:
 
 
 def stream_progress(spark, sf_dir):
-    """The images that the SQL twin names."""
-    return streamed(spark, images(spark, sf_dir).where("img_id < 200"))
-
-
-def stream_progress_of_texts(spark, sf_dir):
-    """All documents, as whole texts; no SQL twin."""
-    return streamed(spark, whole_images(spark, sf_dir))
+    return streamed(spark, images(spark, sf_dir))
 
 
 def compression_stats(spark, sf_dir):
@@ -286,7 +296,7 @@ def compression_stats(spark, sf_dir):
     return c.groupBy("type").agg(F.count("*").alias("n"))
 
 
-_gray_im = cells_sql() + ", px AS (SELECT img_id, n // 32 AS height, i // 4 AS p, " + ", ".join(f"sum(CASE WHEN i % 4 = {k} THEN v END) AS c{k}" for k in range(4)) + " FROM cells WHERE n >= 32 AND i < n // 32 * 32 GROUP BY ALL)"
+_gray_im = ROWS + f", px AS (SELECT img_id, height, y * {WIDTH} + x.x AS p, " + ", ".join(f"{_hex(f'8 * x.x + {2 * k}')} AS c{k}" for k in range(4)) + f" FROM lines, unnest(range(0, {WIDTH})) AS x(x))"
 FORMATS = {
     "decode_gray8": (EncodeOptions(target_color_type=0, level=3), ["g", "g", "g", "255"]),
     "decode_rgb16": (EncodeOptions(target_color_type=2, target_bit_depth=16, level=3), ["c0", "c1", "c2", "255"]),
@@ -303,8 +313,8 @@ def _format_sql(parts: list[str]) -> str:
 
 PATHS = {
     "sink_container": EncodeOptions(level=3),
-    "encode_tiles_morton": EncodeOptions(tile_size=(3, 2), scan_order=1, level=3),
-    "encode_tiles_rowmajor": EncodeOptions(tile_size=(3, 2), level=3),
+    "encode_tiles_morton": EncodeOptions(tile_size=(100, 3), scan_order=1, level=3),
+    "encode_tiles_rowmajor": EncodeOptions(tile_size=(100, 3), level=3),
     "encode_adam7": EncodeOptions(interlace_method=1, level=3),
     "encode_evenodd": EncodeOptions(interlace_method=2, level=3),
     "encode_byte_shuffle": EncodeOptions(use_byte_shuffle=True, level=3),
@@ -318,18 +328,18 @@ PATHS = {
 _whole = IMAGES + " SELECT img_id, height, pixel_check FROM im"
 
 QUERIES = {name: round_trip(o) for name, o in PATHS.items()} | {name: round_trip(o) for name, (o, _) in FORMATS.items()} | {
-    "encode_indexed": lambda s, d: decoded(L.decode(L.encode_indexed(images(s, d), EncodeOptions(level=3)))),
+    "encode_indexed": lambda s, d: decoded(L.decode(L.encode_indexed(gray_images(s, d), EncodeOptions(level=3)))),
     "scan_image": scan_image, "sink_image": sink_image, "scan_container": scan_container, "chunk_read": chunk_read, "chunk_write": chunk_write, "crc32": crc32, "ihdr_patch": ihdr_patch,
     "meta_json": meta_json, "meta_exif": first_of("true"), "meta_icc": first_of("NOT broken"), "meta_xmp": first_of("is_valid_utf8(CAST(data AS STRING))"), "meta_zdic": first_of("NOT broken"),
     "meta_idim": meta_idim, "meta_plte": meta_plte, "meta_chdr": meta_chdr, "be_read": be_read, "header_validation": header_validation,
-    "compress_fallback": compress_fallback, "compress_fallback_dict": compress_fallback_dict, "decompress_limited": decompress_limited, "decompress_budget": decompress_budget, "decompress_budget_used": budget_used,
-    "train_dictionary": train_dictionary, "append_idat": append_idat, "stream_chunk_progress": stream_progress, "stream_chunk_progress_of_texts": stream_progress_of_texts, "compression_stats": compression_stats,
+    "compress_fallback": flat(compress_fallback), "compress_fallback_dict": flat(compress_fallback_dict), "decompress_limited": flat(decompress_limited), "decompress_budget": decompress_budget, "decompress_budget_used": budget_used,
+    "train_dictionary": train_dictionary, "append_idat": append_idat, "stream_chunk_progress": stream_progress, "compression_stats": compression_stats,
 }
 
 ORACLES = {name: _whole for name in PATHS} | {name: _format_sql(parts) for name, (_, parts) in FORMATS.items()} | {
-    "encode_indexed": _whole,
+    "encode_indexed": GRAY_IMAGES,
     "scan_image": _whole,
-    "sink_image": IMAGES + " SELECT img_id, CAST(8 AS BIGINT) AS width, height FROM im",
+    "sink_image": IMAGES + f" SELECT img_id, CAST({WIDTH} AS BIGINT) AS width, height FROM im",
     "scan_container": IMAGES + " SELECT img_id, 6 + CAST(ceil(height / 2.0) AS BIGINT) AS n_chunks, CAST(ceil(height / 2.0) AS BIGINT) AS n_idat, 'IDAT' AS first_type, CAST(0 AS BIGINT) AS faults FROM im",
     "chunk_read": "SELECT event_id AS img_id, CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n, CASE WHEN event_id % 7 = 0 THEN 'crc' END AS fault FROM events",
     "ihdr_patch": "SELECT user_id AS img_id, bool_or(event_id % 37 = 0) AS zstd, CAST(max(CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS compression_method FROM events GROUP BY 1",
@@ -338,14 +348,14 @@ ORACLES = {name: _whole for name in PATHS} | {name: _format_sql(parts) for name,
     "meta_idim": "SELECT o_orderkey, o_orderkey * 3 % 65536 AS tile_width, o_orderkey * 5 % 65536 AS tile_height, o_orderkey * 7 % 65536 AS tiles_x, o_orderkey * 11 % 65536 AS tiles_y, o_orderkey % 3 <= 1 AS valid FROM orders",
     "meta_plte": "WITH p AS (SELECT p_partkey AS img_id, CASE WHEN p_partkey % 2 = 1 THEN 4 ELSE 3 END AS n FROM part), e AS (SELECT img_id, n, CAST(k.k AS INTEGER) AS idx FROM p, unnest(range(0, 4)) AS k(k)) SELECT img_id, idx, (img_id * 31 + (idx * n) * 17) % 256 AS r, (img_id * 31 + (idx * n + 1) * 17) % 256 AS g, (img_id * 31 + (idx * n + 2) * 17) % 256 AS b, CASE WHEN n = 4 THEN (img_id * 31 + (idx * n + 3) * 17) % 256 ELSE 255 END AS a FROM e",
     "meta_chdr": "WITH h AS (SELECT o_orderkey AS k, o_orderkey % 10 <> 0 AS valid, 10 + CASE WHEN o_orderkey % 2 = 1 THEN 4 ELSE 0 END + CASE WHEN o_orderkey % 4 = 3 THEN 4 ELSE 0 END + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS n FROM orders) SELECT k AS o_orderkey, CAST(n AS BIGINT) AS n, CASE WHEN valid THEN k % 4 END AS transfer, CASE WHEN valid THEN k % 3 END AS primaries, CASE WHEN valid THEN CAST(k % 1000 AS DOUBLE) END AS max_lum, CASE WHEN valid AND k % 2 = 1 THEN k % 97 END AS max_cll, CASE WHEN valid AND k % 4 = 3 THEN k % 89 END AS max_fall, valid FROM h",
-    "be_read": "WITH h AS (SELECT doc_id, hex(encode(left(text, 8))) AS x FROM documents), d AS (SELECT doc_id, x, [instr('0123456789ABCDEF', substr(x, i, 1)) - 1 for i in range(1, 13)] AS n FROM h) SELECT doc_id, CASE WHEN length(x) >= 4 THEN CAST(n[1]*4096 + n[2]*256 + n[3]*16 + n[4] AS BIGINT) END AS u16, CASE WHEN length(x) >= 12 THEN CAST(n[5] AS BIGINT)*268435456 + n[6]*16777216 + n[7]*1048576 + n[8]*65536 + n[9]*4096 + n[10]*256 + n[11]*16 + n[12] END AS u32 FROM d",
+    "be_read": cells_sql(1, 4) + f" SELECT img_id // {TILES} AS doc_id, CAST(sum(CASE WHEN i % 2 = 0 THEN 256 ELSE 1 END * v) AS BIGINT) AS u16, CAST(sum(CAST(v AS BIGINT) << (8 * (3 - i % 4))) AS BIGINT) AS u32 FROM cells GROUP BY 1",
     "header_validation": HEADERS,
-    "compress_fallback": cells_sql() + " SELECT DISTINCT img_id, CAST(n AS BIGINT) AS n, true AS kept_smaller, true AS same FROM cells",
-    "compress_fallback_dict": cells_sql() + " SELECT DISTINCT img_id, true AS same FROM cells",
-    "decompress_limited": cells_sql() + " SELECT DISTINCT img_id, CASE img_id % 3 WHEN 2 THEN 'block' WHEN 1 THEN 'limit' ELSE '' END AS error FROM cells",
+    "compress_fallback": flat_sql(cells_sql() + " SELECT img_id, count(*) AS n, true AS kept_smaller, CAST(sum((i + 1) * v) AS BIGINT) AS byte_check FROM cells GROUP BY 1"),
+    "compress_fallback_dict": flat_sql(cells_sql() + " SELECT img_id, count(*) AS n, CAST(sum((i + 1) * v) AS BIGINT) AS byte_check FROM cells GROUP BY 1"),
+    "decompress_limited": flat_sql(cells_sql() + f" SELECT DISTINCT img_id, CASE (img_id // {TILES} + img_id % {TILES}) % 3 WHEN 2 THEN 'block' WHEN 1 THEN 'limit' ELSE '' END AS error FROM cells"),
     "decompress_budget": "WITH g AS (SELECT o_orderkey, o_orderkey % 500 + 1 AS w, o_orderkey * 7 % 300 + 1 AS h, o_orderkey % 3 AS il, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 6 END AS ct FROM orders) SELECT o_orderkey, CASE WHEN il = 1 THEN w*h*4 + 7 WHEN il = 2 THEN w*h*4 + 2 WHEN ct = 3 THEN w*h + h ELSE w*4*h + h END AS budget FROM g",
     "decompress_budget_used": "WITH l AS (SELECT l_orderkey AS img_id, CAST(l_linenumber AS INTEGER) AS seq, sum(l_partkey % 5000) AS n FROM lineitem GROUP BY ALL), u AS (SELECT img_id, seq, CAST(sum(n) OVER (PARTITION BY img_id ORDER BY seq) AS BIGINT) AS used FROM l) SELECT img_id, seq, used, used > 16448 AS over FROM u",
-    "append_idat": IMAGES + " SELECT img_id, CAST(ceil(height / 4.0) AS BIGINT) AS n_idat, true AS bit_matches FROM im",
-    "stream_chunk_progress": IMAGES + " SELECT img_id, CAST(2 + ceil(height / 2.0) AS BIGINT) AS chunks, CAST(ceil(height / 2.0) AS BIGINT) AS tiles, 8 * 4 * height + height AS budget, true AS ended FROM im WHERE img_id < 200",
+    "append_idat": IMAGES + " SELECT img_id, CAST(ceil(height / 4.0) AS BIGINT) AS n_idat, true AS bit_matches, height FROM im",
+    "stream_chunk_progress": IMAGES + f" SELECT img_id, CAST(2 + ceil(height / 2.0) AS BIGINT) AS chunks, CAST(ceil(height / 2.0) AS BIGINT) AS tiles, {_ROW} * height + height AS budget, true AS ended FROM im",
     "compression_stats": IMAGES + " SELECT 'IHDR' AS type, count(*) AS n FROM im UNION ALL SELECT 'IEND', count(*) FROM im UNION ALL SELECT 'IDAT', CAST(sum(ceil(height / 2.0)) AS BIGINT) FROM im",
 }

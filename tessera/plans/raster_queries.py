@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import color as C
 from tessera.functions import geometry as G
 from tessera.functions import tonemap as T
+from tessera.operators import codec, raster
 from tessera.operators import quantize as Q
-from tessera.operators import raster
-from tessera.plans.filter_queries import cells_sql, checksum, tiles
+from tessera.plans.filter_queries import cells_sql, checksum, flat, flat_sql, tiles
 from tessera.plans.tables import table
 
 TW, TH = 64, 48
@@ -154,16 +154,19 @@ def evenodd_reconstruct(spark, sf_dir):
     return split.select("img_id", back.alias("v")).select("img_id", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("byte_sum"), checksum(F.col("v")).alias("byte_check"))
 
 
+STRIDES = (2, 4, 8, 16)
+
+
 def byte_shuffle(spark, sf_dir):
     t = tiles(spark, sf_dir)
-    return t.select("img_id", *[checksum(C.shuffle(F.col("v"), k)).alias(f"check{k}") for k in (2, 4, 8, 16)])
+    return t.select("img_id", *[F.get(codec.byte_sums(codec.shuffled_bytes(F.col("data"), k)), F.lit(1)).alias(f"check{k}") for k in STRIDES])
 
 
 def byte_unshuffle(spark, sf_dir):
-    t = tiles(spark, sf_dir)
-    for k in (2, 4, 8, 16):
-        t = t.withColumn("v", C.shuffle(F.col("v"), k)).withColumn("v", C.unshuffle(F.col("v"), k))
-    return t.select("img_id", checksum(F.col("v")).alias("byte_check"))
+    t = tiles(spark, sf_dir).select("img_id", "data")
+    for k in STRIDES:
+        t = t.withColumn("data", codec.shuffled_bytes(codec.shuffled_bytes(F.col("data"), k), k, inverse=True))
+    return t.select("img_id", F.get(codec.byte_sums(F.col("data")), F.lit(1)).alias("byte_check"))
 
 
 # --- packing
@@ -573,3 +576,11 @@ ORACLES = {
     "detect_grayscale": f"WITH {GRAYS} SELECT img_id, bool_and(r = g AND g = b) AS gray FROM gr WHERE i % 100 = 0 GROUP BY 1",
     "detect_color_type": f"WITH {GRAYS}, d AS (SELECT img_id, bool_and(r = g AND g = b) AS gray, bool_or(a < 255) AS alpha FROM gr WHERE i % 100 = 0 GROUP BY 1) SELECT img_id, CASE WHEN gray AND alpha THEN 4 WHEN gray THEN 0 WHEN alpha THEN 6 ELSE 2 END AS color_type FROM d",
 } | {name: f"WITH {PIXELS} SELECT img_id, i, {', '.join(sql)} FROM px" for name, (_, sql) in CONVERSIONS.items()} | {name: sql for name, (_, sql) in CURVES.items()}
+
+#: Queries over the tiles of texts.
+TILED = (
+    "tile_rows", "tile_extract", "tile_reassemble", "adam7_extract", "adam7_reconstruct", "evenodd_extract", "evenodd_reconstruct", "byte_shuffle", "byte_unshuffle",
+    "pack_samples", "unpack_samples", "pack_indices", "unpack_indices",
+)
+QUERIES |= {k: flat(QUERIES[k]) for k in TILED}
+ORACLES |= {k: flat_sql(ORACLES[k]) for k in TILED}

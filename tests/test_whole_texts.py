@@ -59,11 +59,11 @@ def test_entry_reads_whole_texts(spark, sf):
 
 
 def test_all_documents_are_streamed(spark, tmp_path):
-    texts = {k: "words of a text " * (k % 40 + 1) for k in range(150, 260)}
+    texts = {k: "words of a text " * (k % 40 * 9 + 1) for k in range(150, 260)}
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.img_id: (r.chunks, r.tiles, r.budget, r.ended) for r in container_queries.QUERIES["stream_chunk_progress_of_texts"](spark, str(tmp_path)).collect()}
+    got = {r.img_id: (r.chunks, r.tiles, r.budget, r.ended) for r in container_queries.QUERIES["stream_chunk_progress"](spark, str(tmp_path)).collect()}
     want = {}
     for k, t in texts.items():
-        height = -(-len(t) // 32)
-        want[k] = (2 + -(-height // 2), -(-height // 2), 33 * height, True)
+        height = -(-len(t) // 1024)
+        want[k] = (2 + -(-height // 2), -(-height // 2), 1025 * height, True)
     assert got == want
