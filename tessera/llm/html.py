@@ -56,7 +56,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SMALL_SHARE, PENALTY = 0.3, 0.2
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Markup, found in linear time: no part looks beyond the next < unless it is in quotes, and none is given back.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>", re.S)
 NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDING = re.compile(r"""\bhidden\b(?!\s*[-\w])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACES = re.compile(r"[ \t\n\r\f\v ]+")
@@ -235,20 +236,16 @@ def choose(root: Node) -> Node:
         for x in n.items:
             if n is not best and isinstance(x, Node) and x.named == 2 and x not in path and not x.titled and x.tag not in INSIDE:
                 x.thin = x.chars <= 0.5 * root.chars
-    for n in path[1:]:
-        if n.tag in INSIDE:  # an element that the page itself calls its article
-            return n
-    if best.tag in INSIDE:
-        return best
     within = [n for n in path if n.tag not in ("html", "body")] or [best]
     top = within[0]
     for n in within[1:]:
         if n.chars and n.link_chars <= 0.3 * n.chars:
             top = n
-    if top.chars < 0.5 * root.chars and root.link_chars <= 0.3 * max(1, root.chars):
+    inside = max((k for k, n in enumerate(path) if n.tag in INSIDE), default=0)  # what an article or main holds stays whole
+    if not inside and top.chars < 0.5 * root.chars and root.link_chars <= 0.3 * max(1, root.chars):
         return root  # the text is spread over the body
     threshold = min(n.rate for n in path)
-    for n in path[1 : path.index(top) + 1]:
+    for n in path[inside + 1 : path.index(top) + 1]:
         for x in n.items:
             if isinstance(x, Node) and x not in path and x.tag in JUDGED and not x.titled:
                 x.thin |= x.rate < BESIDE * threshold
