@@ -6,7 +6,9 @@ Main path: DataFrame functions only. A log has rows (conv, seq, kind, msg, role,
   edit        replaces the text of message `msg`
   regenerate  replaces the text of message `msg` and discards the later messages that existed by then
 Folding is declarative: the last message/edit/regenerate event of a message resets its text, the deltas after it
-are appended in order, and a message goes if an earlier message was regenerated after its own opening.
+are appended in order, and a message goes if an earlier message was regenerated after its own opening. A regenerate
+event of a message that is gone by then is stale and discards nothing; which ones are follows from the regenerate
+events of the conversation alone, in order (their number squared; conversations without one cost nothing).
 
 Template: START role END_ROLE text END per turn. Every '&', '<' and '[' of roles and texts is escaped, so no control
 string ('<...', '[...') can stand inside a text, and unescaping gives back the exact text.
@@ -61,9 +63,16 @@ def fold(events: DataFrame) -> DataFrame:
         "conv", "msg", F.coalesce(F.col("opened.seq"), F.get("log", F.lit(0))["seq"]).alias("opened_seq"),
         F.coalesce(F.col("opened.role"), F.get("log", F.lit(0))["role"]).alias("role"), "regenerated", F.concat(last_reset, deltas).alias("text"),
     )
-    in_order = Window.partitionBy("conv").orderBy("opened_seq", "msg")
-    later = F.max("regenerated").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    return messages.withColumn("_cut", later).where(F.col("_cut").isNull() | (F.col("opened_seq") > F.col("_cut"))).select("conv", F.struct("opened_seq", "msg").alias("ord"), "role", "text")
+    event = F.struct("seq", F.col("opened_seq").alias("of"))
+    every = e.where(F.col("kind") == "regenerate").select("conv", "msg", "seq").join(messages.select("conv", "msg", "opened_seq").withColumnsRenamed({"conv": "_c", "msg": "_m"}), F.col("conv").eqNullSafe(F.col("_c")) & F.col("msg").eqNullSafe(F.col("_m")))
+    every = every.groupBy("_c").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    none = F.array().cast("array<struct<seq:bigint,of:bigint>>")
+    gone_by_then = lambda kept, x: F.exists(kept, lambda r: (r["of"] < x["of"]) & (x["of"] < r["seq"]))
+    fresh = F.aggregate("log", none, lambda kept, x: F.when(gone_by_then(kept, x), kept).otherwise(F.array_append(kept, F.struct(x["seq"].cast("bigint").alias("seq"), x["of"].cast("bigint").alias("of")))))
+    cuts = every.select("_c", fresh.alias("cuts"))
+    gone = F.exists(F.coalesce("cuts", none), lambda r: (r["of"] < F.col("opened_seq")) & (F.col("opened_seq") < r["seq"]))
+    left = messages.join(cuts, F.col("conv").eqNullSafe(F.col("_c")), "left").where(~gone)
+    return left.select("conv", F.struct("opened_seq", "msg").alias("ord"), "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
