@@ -35,9 +35,9 @@ KINDS = (
 )
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ID = "id"
-MIN_ID, MAX_ID = 12, 128
+MIN_ID, RUN = 12, 100
 #: Letters and digits mixed, or a long run of digits: what an identifier looks like.
-ID_SHAPE = rf"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{{{MIN_ID},{MAX_ID}}}(?![A-Za-z0-9_])"
+ID_SHAPE = rf"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{{{MIN_ID},}}+"
 #: Identifiers that are secrets by their form alone (hex digests and prefixed keys).
 SECRET = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_[A-Za-z0-9_]{20,})$"
 ROUNDS, PRIOR, MIN_SUPPORT, MIN_CONFIDENCE = 3, 2.0, 5, 0.7
@@ -51,15 +51,23 @@ def located(text: Column, pattern: str) -> Column:
     """
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
 
-    def places(p: Column) -> Column:
-        pairs = F.transform(p["m"], lambda v, i: F.struct(v.alias("v"), F.char_length(F.get(p["gap"], i)).alias("g")))
-        kind = "array<struct<start:int,end:int,value:string>>"
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def run(pairs: Column, at: Column) -> Column:
+        zero = F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
         step = lambda a, x: F.struct(
             (a["at"] + x["g"] + F.char_length(x["v"])).alias("at"),
             F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + F.char_length(x["v"])).alias("end"), x["v"].alias("value"))).cast(kind).alias("out"),
         )
-        return F.aggregate(pairs, zero, step, lambda a: a["out"])
+        return F.aggregate(pairs, zero, step)
+
+    def places(p: Column) -> Column:
+        # an append copies what is there, so matches are placed RUN at a time and the runs are joined at the end
+        pairs = F.transform(p["m"], lambda v, i: F.struct(v.alias("v"), F.char_length(F.get(p["gap"], i)).alias("g")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("runs"))
+        more = lambda a, r: F.struct(r["at"].alias("at"), F.array_append(a["runs"], r["out"]).cast(f"array<{kind}>").alias("runs"))
+        runs = lambda all_: F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(RUN)), zero, lambda a, k: let(run(F.slice(all_, k + 1, F.lit(RUN)), a["at"]), lambda r: more(a, r)), lambda a: F.flatten(a["runs"]))
+        return let(pairs, runs)
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return let(found, lambda p: F.when(F.size(p["m"]) == 0, none).otherwise(places(p)))
