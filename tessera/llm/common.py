@@ -128,26 +128,41 @@ def probe(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, sizes: Sequ
     docs: any table with doc_id and text. grams: gram_size, gram_hash, gram and the payload columns, one row
     for each (gram_size, gram_hash, gram[, place]). Returns doc_id, text_hash, n_words, own (1 on the one row
     that each text has besides its hits, else 0), pos, gram_size and the payload, null where own is 1.
-    The texts are read once, windows are exploded inside one stage, and only hits leave it.
+
+    With a broadcast set the texts are read once, windows are exploded inside one stage, and only hits leave it. Else
+    windows are shuffled as hashes, without their words, and what they hit is verified against the words of its text.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text), F.char_length(text)).alias("text_hash"), words(F.col(text)).alias("_w"))
     all_sizes = sorted(set(sizes))
     end = F.array(F.lit(0).cast("bigint"))
     windows = let(F.transform("_w", lambda x: F.xxhash64(x)), lambda h: F.concat(*[gram_hashes(h, F.size(h), k) for k in all_sizes], end))
-    d = d.select("doc_id", "text_hash", "_w", F.size("_w").alias("n_words"), windows.alias("_p"))
-    d = d.select("doc_id", "text_hash", "n_words", "_w", F.size("_p").alias("_n"), F.posexplode_outer("_p").alias("_i", "gram_hash"))
-    size, pos, start = F.lit(0), F.col("_i"), F.lit(0)
-    for k in all_sizes:  # which of the concatenated window lists an index falls in
-        size = F.when(F.col("_i") >= start, F.lit(k)).otherwise(size)
-        pos = F.when(F.col("_i") >= start, F.col("_i") - start).otherwise(pos)
-        start = start + F.greatest(F.col("n_words") - (k - 1), F.lit(0))
-    own = F.col("_i") == F.col("_n") - 1
-    d = d.select("doc_id", "text_hash", "n_words", "_w", own.cast("int").alias("own"), F.when(~own, pos).alias("pos"), F.when(own, 0).otherwise(size).alias("gram_size"), "gram_hash")
+    n_words = F.size("_w").alias("n_words")
+
+    def placed(exploded: DataFrame, *keep: str) -> DataFrame:
+        size, pos, start = F.lit(0), F.col("_i"), F.lit(0)
+        for k in all_sizes:  # which of the concatenated window lists an index falls in
+            size = F.when(F.col("_i") >= start, F.lit(k)).otherwise(size)
+            pos = F.when(F.col("_i") >= start, F.col("_i") - start).otherwise(pos)
+            start = start + F.greatest(F.col("n_words") - (k - 1), F.lit(0))
+        own = F.col("_i") == F.col("_n") - 1
+        return exploded.select(*keep, own.cast("int").alias("own"), F.when(~own, pos).alias("pos"), F.when(own, 0).otherwise(size).alias("gram_size"), "gram_hash")
+
     g = grams.select("gram_size", "gram_hash", F.col("gram").alias("_gram"), *payload)
-    joined = d.join(small(g, gram_count), ["gram_size", "gram_hash"], "left")
     real = F.array_join(F.slice("_w", F.col("pos") + 1, F.col("gram_size")), " ") == F.col("_gram")
-    hit = F.col("_gram").isNotNull() & real
-    return joined.where((F.col("own") == 1) | hit).select("doc_id", "text_hash", F.col("n_words").cast("bigint").alias("n_words"), "own", "pos", "gram_size", *payload)
+    out = ["doc_id", "text_hash", F.col("n_words").cast("bigint").alias("n_words"), "own", "pos", "gram_size", *payload]
+    if gram_count <= BROADCAST_ROWS:
+        d = d.select("doc_id", "text_hash", "_w", n_words, windows.alias("_p"))
+        d = d.select("doc_id", "text_hash", "n_words", "_w", F.size("_p").alias("_n"), F.posexplode_outer("_p").alias("_i", "gram_hash"))
+        joined = placed(d, "doc_id", "text_hash", "n_words", "_w").join(small(g, gram_count), ["gram_size", "gram_hash"], "left")
+        return joined.where((F.col("own") == 1) | (F.col("_gram").isNotNull() & real)).select(*out)
+    none = [F.lit(None).cast(grams.schema[c].dataType).alias(c) for c in payload]
+    alone = d.select("doc_id", "text_hash", n_words.cast("bigint"), F.lit(1).alias("own"), F.lit(None).cast("int").alias("pos"), F.lit(0).alias("gram_size"), *none)
+    narrow = d.select("doc_id", "text_hash", n_words, windows.alias("_p"))
+    narrow = narrow.select("doc_id", "text_hash", "n_words", F.size("_p").alias("_n"), F.posexplode("_p").alias("_i", "gram_hash"))
+    hits = placed(narrow, "doc_id", "text_hash", "n_words").where("own = 0").join(g, ["gram_size", "gram_hash"])
+    same = d.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "_w")
+    hits = hits.join(same, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_t"))).where(real)
+    return alone.unionByName(hits.select(*out))
 
 
 def ship(module: str) -> None:
