@@ -173,6 +173,17 @@ def test_contexts_find_unseen_identifiers(spark, prose):
     assert "[ID]" in clean[30].text and clean[31].text == plain
 
 
+def test_many_and_long_matches(spark):
+    import time
+
+    many = "".join(f"u{k}@x.org, " for k in range(20_000))
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(docs_of(spark, [many, "key " + "a1" * 200 + " end"])).collect()}
+    assert time.time() - began < 60
+    assert got[0].n_email == 20_000 and got[0].base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in brute_spans(many)).encode()).hexdigest()
+    assert spark.createDataFrame([("key " + "a1" * 200 + " end",)], "t string").select(pii.candidates(F.col("t")).alias("c")).first().c[0].end == 404
+
+
 # --- pages
 
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=1>Home</a><a href=2>News</a></nav>
@@ -229,6 +240,76 @@ def test_parts_of_an_article_stay():
     assert html.extract(page) == "\n\n".join(["Name", "Part", *PARAS, "What is seen", "So a=b holds.", "First source", "Second source"])
 
 
+def test_hostile_markup_is_read_in_linear_time():
+    import time
+
+    for bad in ("<a " * 300_000, "<!" * 300_000, '<a "' * 300_000, "<a '" * 300_001, "<b" * 300_000):
+        began = time.time()
+        html.extract(bad)
+        assert time.time() - began < 5
+
+
+def test_parts_left_open_and_sections_with_telling_names():
+    text = "".join(f"<p>{p}</p>" for p in PARAS)
+    assert html.extract(f"<body><div class=content><p>{PARAS[0]}</p><div class='ad'>{text}</div></body>").endswith("\n\n".join(PARAS))
+    for name in ('class="related-work"', 'id="search-algorithms"', 'class="legal-history"'):
+        part = "".join(f"<p>{p}</p>" for p in PARAS[3:])
+        assert html.extract(f"<body><article><h1>T</h1>{text}<section {name}>{part}</section></article></body>") == "\n\n".join(["T", *PARAS, *PARAS[3:]])
+
+
+def density_by_hand(node):
+    """Counts and the density of a small tree of (tag, children), straight from the formula."""
+    import math
+
+    def counts(n):
+        if isinstance(n, str):
+            return len(re.sub(r"\s", "", n)), 0, 0, 0
+        parts = [counts(c) for c in n[1]]
+        chars = sum(p[0] for p in parts)
+        tags = sum(p[1] + (not isinstance(c, str)) for p, c in zip(parts, n[1], strict=True))
+        links = chars if n[0] == "a" else sum(p[2] for p in parts)
+        return chars, tags, links, sum(p[3] + (not isinstance(c, str) and c[0] == "a") for p, c in zip(parts, n[1], strict=True))
+
+    total = counts(node)
+    out = {}
+
+    def walk(n, path):
+        c, t, lc, lt = counts(n)
+        t, l1, t1 = max(1, t), max(1, lc), max(1, lt)
+        base = math.log(c * l1 / max(1, c - lc) + c * total[2] / max(1, total[0]) + math.e) if c else 0
+        out[path] = c / t / max(math.log(max(base, 1.0) + 1), 0.1) * math.log(max(1.0, c * t / (l1 * t1)) + 1) if c else 0.0
+        for k, x in enumerate(x for x in n[1] if not isinstance(x, str)):
+            walk(x, (*path, k))
+
+    walk(node, ())
+    return out
+
+
+def test_densities_of_small_trees_by_hand():
+    rng = random.Random(2)
+
+    def tree(depth):
+        return (rng.choice(["div", "p", "a", "b"]), [rng.choice(["word " * rng.randint(1, 9), "x"]) if depth == 0 or rng.random() < 0.4 else tree(depth - 1) for _ in range(rng.randint(0, 4))])
+
+    def built(n, parent=None):
+        node = html.Node(n[0], parent)
+        node.items = [x if isinstance(x, str) else built(x, node) for x in n[1]]
+        return node
+
+    def read(n, path):
+        yield path, n.density
+        for k, x in enumerate(x for x in n.items if isinstance(x, html.Node)):
+            yield from read(x, (*path, k))
+
+    for _ in range(200):
+        small = ("html", [tree(3), tree(2)])
+        root = built(small)
+        html.measure(root)
+        want = density_by_hand(small)
+        got = dict(read(root, ()))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_long_comments_do_not_win():
     said = "".join(f"<article class=comment><p>Reader {k} says: {p}</p></article>" for k, p in enumerate(PARAS[:4]))
     text = "".join(f"<p>{p}</p>" for p in PARAS)
@@ -285,6 +366,14 @@ def fold_by_hand(log):
     return {c: [(v[1], v[2]) for v in sorted(s.values())] for c, s in convs.items()}
 
 
+def test_stale_events_discard_nothing(spark):
+    log = [(1, 1, "message", 1, "user", "A"), (1, 2, "message", 2, "assistant", "B"), (1, 4, "regenerate", 1, "user", "A2"), (1, 5, "message", 5, "assistant", "C"), (1, 6, "regenerate", 2, "assistant", "B2")]
+    log += [(2, 1, "message", 1, "user", "A"), (2, 2, "message", 2, "user", "B"), (2, 3, "message", 3, "user", "C"), (2, 4, "regenerate", 2, "user", "B2"), (2, 5, "message", 5, "user", "D"), (2, 6, "regenerate", 3, "user", "x"), (2, 7, "regenerate", 1, "user", "A2"), (2, 8, "message", 8, "user", "E"), (2, 9, "regenerate", 5, "user", "y")]
+    d = spark.createDataFrame(log, "conv bigint, seq bigint, kind string, msg bigint, role string, text string")
+    got = {r.conv: [t.text for t in r.turns] for r in chat.parse(chat.render(chat.fold(d))).collect()}
+    assert got == {1: ["A2", "C"], 2: ["A2", "E"]}
+
+
 def test_logs_are_folded(spark):
     rng = random.Random(8)
     log = []
@@ -324,7 +413,7 @@ def test_nulls_and_ties_in_conversations(spark):
 def test_shuffled_join_gives_the_same(spark, sf, monkeypatch):
     docs, bench = common.table(spark, sf, "documents"), common.table(spark, sf, "benchmark")
     a = sorted(map(tuple, decontaminate.report(docs, bench).collect()))
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(common, "small", lambda df, rows, limit=0: df.hint("merge"))
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == a
 
