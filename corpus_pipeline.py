@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each calling one text operator.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents; the last adds the mixing pass, block and token count.
+one's docs. All but the last return the columns of documents; the last adds the mixing pass, block, place and token count.
 """
 
 from __future__ import annotations
