@@ -27,14 +27,12 @@ other than text and n_chars pass through, but for n_lines and n_dropped, which a
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, small, stored, whole_row
+from tessera.llm.common import SPACE, let, small, stored, whole_row
 
 #: Documents and tokens of a template, as above. From WIDE_TOKENS on a field is two cells of two tokens, else one of one.
 MIN_DOCS, MIN_TOKENS, SHORT_DOCS = 2, 8, 10
@@ -43,18 +41,9 @@ NO_ID = -(2**63)
 
 
 #: A token with a digit, entered at its start only.
-VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-OTHER_SPACE = r"[\x09\x0B-\x0D]"
-
-
-def masked(text: Column) -> Column:
-    """The text with <*> for tokens with a digit and one plain space between the tokens of a line; most texts need
-    none of the passes, which plain searches show."""
-    has = lambda t, *parts: functools.reduce(operator.or_, [F.contains(t, F.lit(p)) for p in parts])
-    plain = F.when(has(text, "\t", "\r", "\x0b", "\x0c"), F.regexp_replace(text, F.lit(OTHER_SPACE), F.lit(" "))).otherwise(text)
-    loose = has(plain, "  ", "\n ", " \n") | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
-    single = F.when(loose, F.regexp_replace(F.regexp_replace(plain, F.lit(" +"), F.lit(" ")), F.lit("(?md)^ | $"), F.lit(""))).otherwise(plain)
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, F.lit(VARIABLE), F.lit("<*>"))).otherwise(single)
+VARIABLE = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
+#: White space that isn't one plain space between two tokens.
+LOOSE = r"[\x09\x0B-\x0D]|  |^ | $"
 
 
 def document(docs: DataFrame, doc_id: str) -> Column:
@@ -79,13 +68,16 @@ def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Lines are exploded first, so that everything about a line is plain columns of compiled code.
     """
-    d = docs.select(document(docs, doc_id).alias("doc"), text_hash(text).alias("text_hash"), F.split(masked(F.col(text)), "\n", -1).alias("lines"))
-    d = d.select("doc", "text_hash", F.posexplode("lines").alias("line", "l")).where("l <> ''")
-    d = d.select("doc", "text_hash", "line", "l", F.split("l", " ", -1).alias("t")).withColumn("n", F.size("t"))
+    d = docs.select(document(docs, doc_id).alias("doc"), text_hash(text).alias("text_hash"), F.split(F.col(text), "\n", -1).alias("lines"))
+    d = d.select("doc", "text_hash", F.posexplode("lines").alias("line", "l"))
+    tidy = F.when(F.col("l").rlike(LOOSE), F.trim(F.regexp_replace("l", F.lit(SPACE), F.lit(" ")))).otherwise(F.col("l"))
+    d = d.withColumn("l", tidy).where("l <> ''")
+    d = d.withColumn("l", F.when(F.col("l").rlike("[0-9]"), F.regexp_replace("l", F.lit(VARIABLE), F.lit("<*>"))).otherwise(F.col("l")))
+    d = d.withColumn("n", F.octet_length("l") - F.octet_length(F.replace(F.col("l"), F.lit(" "), F.lit(""))) + 1)
     n = F.col("n")
     fixed = F.floor((n - F.when(n >= WIDE_TOKENS, 4).otherwise(1)) / 2).cast("int")  # a field of this width can't touch both
-    end = lambda side, start: F.when(n >= VARY_TOKENS, F.xxhash64(F.lit(side), n, F.slice("t", start, fixed)))
-    return d.select("doc", "text_hash", "line", "l", "n", key_of(F.lit("whole"), "l").alias("whole"), end("head", F.lit(1)).alias("head"), end("tail", n - fixed + 1).alias("tail"))
+    end = lambda side, tokens: F.when(n >= VARY_TOKENS, F.xxhash64(F.lit(side), n, F.call_function("substring_index", "l", F.lit(" "), tokens)))
+    return d.select("doc", "text_hash", "line", "l", "n", key_of(F.lit("whole"), "l").alias("whole"), end("head", fixed).alias("head"), end("tail", -fixed).alias("tail"))
 
 
 def fields_of(lines: DataFrame) -> DataFrame:
@@ -125,14 +117,18 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     vary = F.when(n >= LONG_TOKENS, min_docs).otherwise(vary_docs)
     later, may_vary = F.col("doc") > F.col("first_doc"), F.col("head").isNotNull()
     whole = lines.drop("l").withColumnRenamed("whole", "key")
-    seen = stored(whole.join(counted(whole).select("key", "docs", "first_doc"), "key").where((F.col("docs") >= need) | may_vary), "seen")
+    # written, so that the join deals the lines anew and may split a line that is everywhere
+    repeated = stored(counted(whole).where("docs > 1").select("key", "docs", "first_doc"), "repeated")
+    known = whole.join(repeated, "key", "left").withColumns({"docs": F.coalesce("docs", F.lit(1)), "first_doc": F.coalesce("first_doc", "doc")})
+    seen = stored(known.where((F.col("docs") >= need) | may_vary), "seen")
     gone = seen.where((F.col("docs") >= need) & later).select(*at)
     # copies of a line that meets the need of a template with a field are gone already, but for the first
     apart = seen.where(may_vary & ((F.col("docs") < vary) | ~later)).select(*at, "n", (F.col("docs") >= vary).alias("enough"), F.col("key.a").alias("whole"), F.explode(F.array("head", "tail")).alias("key"))
     shared = counted(apart, ["whole"], ["whole", "enough"]).where(((F.col("docs") >= vary) | F.col("max_enough")) & (F.col("min_whole") < F.col("max_whole")))
-    likely = stored(apart.join(shared.select("key"), "key", "left_semi").select(*at, "enough").distinct(), "likely")
+    shared = stored(shared.select("key"), "shared")
+    likely = stored(apart.join(shared, "key", "left_semi").select(*at, "enough").distinct(), "likely")
     fields = stored(fields_of(lines.select(*at, "n", "l").join(small(likely, likely.count()), at)), "fields")
-    templates = counted(fields, most=["enough"]).where((F.col("docs") >= vary) | F.col("max_enough")).select("key", "first_doc")
+    templates = stored(counted(fields, most=["enough"]).where((F.col("docs") >= vary) | F.col("max_enough")).select("key", "first_doc"), "templates")
     varied = fields.join(templates, "key").where(later).select(*at)
     return gone.unionByName(varied).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
