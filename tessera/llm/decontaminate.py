@@ -86,14 +86,21 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_share:
     raw_words = F.array_remove(F.split("_text", NOT_WORD_RAW, -1), "")
     seps = F.split("_text", WORD_RAW, -1)  # one more than the words
 
+    # hit words in order; a run of them ends where the next hit isn't the next word
+    hits = F.sort_array(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"].cast("int"), s["end"].cast("int") - 1)))))
+    firsts = lambda h: F.filter(h, lambda x, i: F.coalesce(F.get(h, i - 1) < x - 1, F.lit(True)))
+    afters = lambda h: F.transform(F.filter(h, lambda x, i: F.coalesce(F.get(h, i + 1) > x + 1, F.lit(True))), lambda x: x + 1)
+
     def rebuilt(parts):
-        w, sep = parts["w"], parts["sep"]
-        hit = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
-        piece = lambda i: F.concat(
-            F.when(hit(i) & hit(i - 1), F.lit("")).otherwise(F.coalesce(F.get(sep, i), F.lit(""))),
-            F.when(hit(i), F.lit("")).otherwise(F.coalesce(F.get(w, i), F.lit(""))),
+        """What stands between the runs, each part with the separator that ends it: every word is read once."""
+        pairs = F.zip_with(parts["sep"], parts["w"], lambda sep, w: F.concat(sep, w))
+        kept = lambda p: F.zip_with(
+            F.concat(F.array(F.lit(0)), p["after"]),
+            F.concat(p["first"], F.array(F.size(parts["w"]))),
+            lambda start, end: F.concat(F.array_join(F.slice(p["pairs"], start + 1, end - start), ""), F.coalesce(F.get(parts["sep"], end), F.lit(""))),
         )
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(w)), piece), "")
+        runs = let(hits, lambda h: F.struct(firsts(h).alias("first"), afters(h).alias("after")))
+        return let(F.struct(pairs.alias("pairs"), runs["first"].alias("first"), runs["after"].alias("after")), lambda p: F.array_join(kept(p), ""))
 
     cut = let(F.struct(raw_words.alias("w"), seps.alias("sep")), rebuilt)
     out = joined.withColumn("_text", F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("_text")))

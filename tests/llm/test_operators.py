@@ -686,3 +686,31 @@ def test_pipeline_against_the_operators_by_hand(spark, sf):
         else:
             assert {r.doc_id for r in rows} <= set(before)
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_removal_leaves_what_stands_between_the_hits(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    bench = [" ".join(rng.choices(vocabulary, k=rng.choice([4, 10, 12, 30]))) for _ in range(20)]
+    texts = ["", None, bench[0]]
+    for _ in range(80):
+        parts = [rng.choice(bench).split()[: rng.choice([9, 11, 40])] if rng.random() < 0.4 else rng.choices(vocabulary, k=rng.randint(1, 25)) for _ in range(rng.randint(1, 9))]
+        texts.append(rng.choice(["", "(", " "]) + "".join((w.upper() if rng.random() < 0.2 else w) + rng.choice([" ", ", ", "\n", "--"]) for part in parts for w in part))
+    windows = {tuple(b.split()[k : k + 10]) for b in bench for k in range(max(1, len(b.split()) - 9))}
+    want = {}
+    for k, text in enumerate(texts):
+        found = list(re.finditer("[A-Za-z0-9]+", text or ""))
+        words = [m.group().lower() for m in found]
+        hit = {p for size in range(1, 11) for at in range(len(words) - size + 1) if tuple(words[at : at + size]) in windows for p in range(at, at + size)}
+        if not hit:
+            want[k] = text
+        elif len(hit) <= 0.5 * len(words):
+            end, out = 0, ""
+            for p, m in enumerate(found):
+                out += "" if p in hit and p - 1 in hit else text[end : m.start()]
+                out += "" if p in hit else m.group()
+                end = m.end()
+            want[k] = out + text[end:]
+    items = spark.createDataFrame([(k, b) for k, b in enumerate(bench)], "item_id int, text string")
+    assert {r.doc_id: r.text for r in decontaminate.remove(docs_of(spark, texts), items).collect()} == want
+    assert sum(want.get(k) != t for k, t in enumerate(texts)) > 20
