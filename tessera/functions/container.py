@@ -24,6 +24,8 @@ HEADER, FOOTER = 9, 4
 #: Sample formats, filter methods, interlace methods, scan orders.
 UINT, FLOAT, HALF = 0, 1, 2
 NO_FILTER, BYTE_SHUFFLE, PREDICTIVE = 0, 1, 2
+#: The pixel sizes that can be shuffled.
+SHUFFLE_BPP = (2, 4, 8, 16)
 NO_INTERLACE, ADAM7, EVEN_ODD = 0, 1, 2
 ROW_MAJOR, MORTON = 0, 1
 
@@ -64,6 +66,26 @@ def valid_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull() & inside("[", "]") & inside('{"x":', "}")
 
 
+def compression_bit(flag: Column) -> Column:
+    """Over the chunks of a file: the header's compression byte, 1 if any chunk is compressed."""
+    return F.coalesce(F.max(flag.cast("int")), F.lit(0))
+
+
+def tiling(data: Column) -> Column:
+    """struct<tile_width, tile_height, tiles_x, tiles_y, valid> of a tiling payload; valid says whether the order is known."""
+    names = ("tile_width", "tile_height", "tiles_x", "tiles_y")
+    return F.struct(*[be_number(data, 2 * k, 2).alias(n) for k, n in enumerate(names)], F.coalesce(be_number(data, 8, 1) <= MORTON, F.lit(False)).alias("valid"))
+
+
+def palette_entries(data: Column) -> Column:
+    """array<struct<idx, r, g, b, a>> of a palette payload; missing alpha is 255, a partial last entry is left out."""
+    n = F.when(be_number(data, 0, 1) != 0, 4).otherwise(3)
+    whole = F.floor((F.octet_length(data) - 1) / n).cast("int")
+    at = lambda k, c: be_number(data, k * n + 1 + c, 1)
+    entry = lambda k: F.struct(k.alias("idx"), at(k, 0).alias("r"), at(k, 1).alias("g"), at(k, 2).alias("b"), F.when(n == 4, at(k, 3)).otherwise(F.lit(255)).alias("a"))
+    return F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), entry))
+
+
 def budget(interlace: Column, color_type: Column, width: Column, height: Column, row_bytes: Column) -> Column:
     """The most bytes that the image data of a file may unpack to."""
     px = width.cast("bigint") * height.cast("bigint")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import container as K
 from tessera.functions.color import bytes_per_pixel
-from tessera.operators import codec, raster
+from tessera.operators import codec, metadata, raster
 from tessera.plans import lifecycle as L
 from tessera.plans.filter_queries import TILES, cells_sql, flat, flat_sql, tiles, whole_tiles
 from tessera.plans.options import EncodeOptions
@@ -92,36 +92,54 @@ def chunk_read(spark, sf_dir):
     return L.chunks(files).groupBy("img_id").agg(F.count("type").alias("n"), F.max("fault").alias("fault"))
 
 
+def packed(rows: DataFrame, stored=None) -> DataFrame:
+    """Chunk rows (img_id, seq, type, flag, data) of payloads, compressed where that is smaller and `stored` doesn't hold."""
+    c = rows.withColumn("_b", codec.compress_block(F.col("data"), level=1))
+    if stored is None:
+        return c.select("img_id", "seq", "type", "_b.flag", "_b.data")
+    return c.select("img_id", "seq", "type", F.when(stored, 0).otherwise(F.col("_b.flag")).alias("flag"), F.when(stored, F.col("data")).otherwise(F.col("_b.data")).alias("data"))
+
+
 def ihdr_patch(spark, sf_dir):
-    """Whether any chunk of a file is compressed, and the header's compression byte."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("img_id"), (F.col("event_id") % 37 == 0).cast("int").alias("flag"))
-    return e.groupBy("img_id").agg(F.bool_or(F.col("flag") == 1).alias("zstd"), F.max("flag").alias("compression_method"))
+    """Whether any chunk of a file is compressed, and the header's compression byte; every 37th event is a chunk that
+    can be compressed, the others are stored."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("img_id"), F.col("event_id").alias("seq"), F.lit(K.JSON).alias("type"), F.repeat("event_type", F.lit(40)).cast("binary").alias("data"))
+    c = packed(e, F.col("seq") % 37 != 0)
+    return c.groupBy("img_id").agg(K.compression_bit(F.col("flag")).alias("compression_method")).select("img_id", (F.col("compression_method") == 1).alias("zstd"), "compression_method")
 
 
 def meta_json(spark, sf_dir):
     """The last valid JSON of every namespace of a file; every 11th is broken and dropped."""
     e = table(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 11 == 0, F.concat(F.col("props"), F.lit("}"))).otherwise(F.col("props"))
-    rows = e.select(F.col("user_id").alias("img_id"), F.col("event_type").alias("namespace"), "event_id", text.alias("json"))
-    good = rows.where(K.valid_json(F.col("json")))
-    return good.groupBy("img_id", "namespace").agg(F.max_by("json", "event_id").alias("json"))
-
+    rows = e.select(F.col("user_id").alias("img_id"), F.col("event_id").alias("seq"), F.lit(K.JSON).alias("type"), K.json_payload(F.col("event_type"), text).alias("data"))
+    return metadata.table(packed(rows)).select("img_id", "namespace", F.col("data").cast("string").alias("json"))
 
-def metadata(spark, sf_dir):
-    """One opaque payload per event of a file in order; every 5th isn't UTF-8, every 3rd can't be unpacked."""
-    e = table(spark, sf_dir, "events")
-    data = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(b"\xff"), F.col("props").cast("binary"))).otherwise(F.col("props").cast("binary"))
-    return e.select(F.col("user_id").alias("img_id"), "event_id", data.alias("data"), (F.col("event_id") % 3 == 0).alias("broken"))
 
+def first_of(kind: str, broken: bool = False):
+    """The first valid piece of a kind of a file, one chunk per event: every 5th isn't UTF-8, and if `broken`, every 3rd
+    says that it is compressed and isn't."""
 
-def first_of(where):
     def run(spark, sf_dir):
-        d = metadata(spark, sf_dir).where(where)
-        return d.groupBy("img_id").agg(F.lower(F.hex(F.min_by("data", "event_id"))).alias("data"))
+        e = table(spark, sf_dir, "events")
+        data = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(b"\xff"), F.col("props").cast("binary"))).otherwise(F.col("props").cast("binary"))
+        rows = e.select(F.col("user_id").alias("img_id"), F.col("event_id").alias("seq"), F.lit(kind).alias("type"), data.alias("data"))
+        c = packed(rows)
+        if broken:
+            bad = rows.select("img_id", "seq", "type", F.lit(1).alias("flag"), "data").where(F.col("seq") % 3 == 0)
+            c = c.where(F.col("seq") % 3 != 0).unionByName(bad)
+        return metadata.table(c).select("img_id", F.lower(F.hex("data")).alias("data"))
 
     return run
 
 
+def decode_metadata(spark, sf_dir):
+    """All metadata of the containers of all images."""
+    o = EncodeOptions(level=3, use_filter=False, json_metadata={"camera": {"k": 1}, "author": "x"}, exif=b"exif data", xmp_metadata="<x/>", icc_profile=b"\xab" * 96, hdr=K.Hdr(0, 0, 1.0, 0.0))
+    m = L.metadata(L.encode(images(spark, sf_dir), o))
+    return m.select("img_id", "kind", "namespace", F.lower(F.hex("data")).alias("data"))
+
+
 def _first_sql(where: str) -> str:
     return f"SELECT user_id AS img_id, lower(arg_min(CASE WHEN event_id % 5 = 0 THEN 'ff' ELSE '' END || hex(encode(props)), event_id)) AS data FROM events WHERE {where} GROUP BY 1"
 
@@ -129,9 +147,7 @@ def _first_sql(where: str) -> str:
 def meta_idim(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", *[(F.col("o_orderkey") * k % 65536).alias(f"v{k}") for k in (3, 5, 7, 11)], (F.col("o_orderkey") % 3).alias("scan"))
     data = F.concat(*[K.be_bytes(F.col(f"v{k}"), 2) for k in (3, 5, 7, 11)], K.be_bytes(F.col("scan"), 1))
-    p = o.select("o_orderkey", data.alias("d"))
-    names = ("tile_width", "tile_height", "tiles_x", "tiles_y")
-    return p.select("o_orderkey", *[K.be_number(F.col("d"), 2 * k, 2).alias(n) for k, n in enumerate(names)], (K.be_number(F.col("d"), 8, 1) <= 1).alias("valid"))
+    return o.select("o_orderkey", K.tiling(data).alias("t")).select("o_orderkey", "t.*")
 
 
 def meta_plte(spark, sf_dir):
@@ -140,10 +156,7 @@ def meta_plte(spark, sf_dir):
     n = F.when(F.col("alpha") == 1, 4).otherwise(3)
     byte = lambda k: K.be_bytes((F.col("img_id") * 31 + k * 17) % 256, 1)
     data = F.concat(K.be_bytes(F.col("alpha"), 1), *[F.when(n * 4 + 2 > k, byte(k)).otherwise(F.lit(b"")) for k in range(18)])
-    d = p.select("img_id", n.alias("n"), data.alias("d"))
-    d = d.select("img_id", "n", "d", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("d") - 1) / F.col("n")).cast("int") - 1)).alias("idx"))
-    at = lambda k: K.be_number(F.col("d"), F.col("idx") * F.col("n") + 1 + k, 1)
-    return d.select("img_id", "idx", at(0).alias("r"), at(1).alias("g"), at(2).alias("b"), F.when(F.col("n") == 4, at(3)).otherwise(F.lit(255)).alias("a"))
+    return p.select("img_id", F.explode(K.palette_entries(data)).alias("e")).select("img_id", "e.*")
 
 
 def meta_chdr(spark, sf_dir):
@@ -330,7 +343,7 @@ _whole = IMAGES + " SELECT img_id, height, pixel_check FROM im"
 QUERIES = {name: round_trip(o) for name, o in PATHS.items()} | {name: round_trip(o) for name, (o, _) in FORMATS.items()} | {
     "encode_indexed": lambda s, d: decoded(L.decode(L.encode_indexed(gray_images(s, d), EncodeOptions(level=3)))),
     "scan_image": scan_image, "sink_image": sink_image, "scan_container": scan_container, "chunk_read": chunk_read, "chunk_write": chunk_write, "crc32": crc32, "ihdr_patch": ihdr_patch,
-    "meta_json": meta_json, "meta_exif": first_of("true"), "meta_icc": first_of("NOT broken"), "meta_xmp": first_of("is_valid_utf8(CAST(data AS STRING))"), "meta_zdic": first_of("NOT broken"),
+    "meta_json": meta_json, "meta_exif": first_of(K.EXIF), "meta_icc": first_of(K.ICCP, True), "meta_xmp": first_of(K.XMPD), "meta_zdic": first_of(K.ZDIC, True), "decode_metadata": decode_metadata,
     "meta_idim": meta_idim, "meta_plte": meta_plte, "meta_chdr": meta_chdr, "be_read": be_read, "header_validation": header_validation,
     "compress_fallback": flat(compress_fallback), "compress_fallback_dict": flat(compress_fallback_dict), "decompress_limited": flat(decompress_limited), "decompress_budget": decompress_budget, "decompress_budget_used": budget_used,
     "train_dictionary": train_dictionary, "append_idat": append_idat, "stream_chunk_progress": stream_progress, "compression_stats": compression_stats,
@@ -345,6 +358,7 @@ ORACLES = {name: _whole for name in PATHS} | {name: _format_sql(parts) for name,
     "ihdr_patch": "SELECT user_id AS img_id, bool_or(event_id % 37 = 0) AS zstd, CAST(max(CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS compression_method FROM events GROUP BY 1",
     "meta_json": "WITH j AS (SELECT user_id AS img_id, event_type AS namespace, event_id, CASE WHEN event_id % 11 = 0 THEN props || '}' ELSE props END AS json FROM events) SELECT img_id, namespace, arg_max(json, event_id) AS json FROM j WHERE json_valid(json) GROUP BY ALL",
     "meta_exif": _first_sql("true"), "meta_icc": _first_sql("event_id % 3 <> 0"), "meta_xmp": _first_sql("event_id % 5 <> 0"), "meta_zdic": _first_sql("event_id % 3 <> 0"),
+    "decode_metadata": "SELECT doc_id AS img_id, m.* FROM documents, (VALUES ('json', 'camera', '7b226b223a20317d'), ('json', 'author', '227822'), ('exif', '', '657869662064617461'), ('xmp', '', '3c782f3e'), ('icc', '', repeat('ab', 96)), ('hdr', '', '00003f80000000000000')) AS m(kind, namespace, data) WHERE text <> ''",
     "meta_idim": "SELECT o_orderkey, o_orderkey * 3 % 65536 AS tile_width, o_orderkey * 5 % 65536 AS tile_height, o_orderkey * 7 % 65536 AS tiles_x, o_orderkey * 11 % 65536 AS tiles_y, o_orderkey % 3 <= 1 AS valid FROM orders",
     "meta_plte": "WITH p AS (SELECT p_partkey AS img_id, CASE WHEN p_partkey % 2 = 1 THEN 4 ELSE 3 END AS n FROM part), e AS (SELECT img_id, n, CAST(k.k AS INTEGER) AS idx FROM p, unnest(range(0, 4)) AS k(k)) SELECT img_id, idx, (img_id * 31 + (idx * n) * 17) % 256 AS r, (img_id * 31 + (idx * n + 1) * 17) % 256 AS g, (img_id * 31 + (idx * n + 2) * 17) % 256 AS b, CASE WHEN n = 4 THEN (img_id * 31 + (idx * n + 3) * 17) % 256 ELSE 255 END AS a FROM e",
     "meta_chdr": "WITH h AS (SELECT o_orderkey AS k, o_orderkey % 10 <> 0 AS valid, 10 + CASE WHEN o_orderkey % 2 = 1 THEN 4 ELSE 0 END + CASE WHEN o_orderkey % 4 = 3 THEN 4 ELSE 0 END + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS n FROM orders) SELECT k AS o_orderkey, CAST(n AS BIGINT) AS n, CASE WHEN valid THEN k % 4 END AS transfer, CASE WHEN valid THEN k % 3 END AS primaries, CASE WHEN valid THEN CAST(k % 1000 AS DOUBLE) END AS max_lum, CASE WHEN valid AND k % 2 = 1 THEN k % 97 END AS max_cll, CASE WHEN valid AND k % 4 = 3 THEN k % 89 END AS max_fall, valid FROM h",

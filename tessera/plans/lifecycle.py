@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import container as K
 from tessera.operators import codec
+from tessera.operators import metadata as M
 from tessera.plans.options import EncodeOptions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -104,8 +105,7 @@ def unshuffled(data: bytes, bpp: int) -> bytes:
 
 
 def filter_method(o: EncodeOptions) -> int:
-    bpp = K.Header(1, 1, o.depth, o.sample_format, o.target_color_type).bpp
-    if o.use_byte_shuffle and bpp in (2, 4, 8, 16):
+    if o.use_byte_shuffle:
         return K.BYTE_SHUFFLE
     return K.PREDICTIVE if o.use_filter else K.NO_FILTER
 
@@ -164,7 +164,7 @@ def encode(images: DataFrame, options: EncodeOptions | None = None) -> DataFrame
 
     packed = parts.withColumn("block", _two_column_udf(pack, codec.BLOCK)("payload", "dictionary"))
     framed = packed.select("img_id", "width", "height", "dictionary", "seq", F.col("block.flag").alias("flag"), K.chunk(F.lit(K.IDAT), F.col("block.flag"), F.col("block.data")).alias("bytes"))
-    whole = framed.groupBy("img_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("dictionary").alias("dictionary"), F.max("flag").alias("zstd"), F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("data"))
+    whole = framed.groupBy("img_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("dictionary").alias("dictionary"), K.compression_bit(F.col("flag")).alias("zstd"), F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("data"))
     extra = [(kind, *codec.compress(data, level)) if may else (kind, 0, data) for kind, data, may in ancillary(o)]
     any_zstd = int(any(f for _, f, _ in extra))
     before = [F.lit(K.write_chunk(kind, flag, data)) for kind, flag, data in extra]
@@ -208,9 +208,15 @@ def chunks(files: DataFrame) -> DataFrame:
     return files.select("img_id", "content").mapInPandas(run, CHUNKS)
 
 
+def metadata(files: DataFrame) -> DataFrame:
+    """img_id, kind (json, exif, icc, xmp, dictionary, hdr), namespace, data: the metadata of containers (img_id, content)."""
+    return M.table(chunks(files))
+
+
 @dataclass
 class Opened:
-    """A file read up to its unpacked parts, with the fault that stopped it, if any."""
+    """A file read up to its unpacked parts, with the fault that stopped it, if any. warnings: no_end (the end chunk is
+    missing), second_header (the last one counts, the budget is the first one's), trailing (bytes after the end chunk)."""
 
     header: K.Header | None = None
     grid: K.Tiling | None = None
@@ -218,6 +224,7 @@ class Opened:
     parts: list = field(default_factory=list)
     meta: dict = field(default_factory=lambda: {"json": {}})
     fault: str | None = None
+    warnings: list = field(default_factory=list)
 
     def filtered(self) -> list[tuple[bytes, int, int]]:
         """The parts that a predictive filter has to be undone for, with their strides."""
@@ -231,16 +238,20 @@ class Opened:
 
 def opened(content: bytes) -> Opened:
     """Chunks checked and unpacked within the file's budget. Broken metadata is dropped, broken image data is a fault."""
-    f, used, dictionary = Opened(), 0, None
+    f, used, budget, dictionary, at, last = Opened(), 0, 0, None, len(K.SIGNATURE), None
     try:
         for c in K.read_chunks(content):
+            at, last = at + K.HEADER + len(c.data) + K.FOOTER, c.kind
             if c.kind == K.IHDR:
+                if f.header:
+                    f.warnings.append("second_header")
                 f.header = K.Header.parse(c.data)
+                budget = budget or f.header.budget
             elif f.header is None:
                 raise K.ContainerError("missing", "header")
             elif c.kind == K.IDAT:
                 extra = f.grid.tiles_x * f.grid.tiles_y if f.grid else 0
-                block = codec.decompress(c.flag, c.data, f.header.budget + extra - used, dictionary)
+                block = codec.decompress(c.flag, c.data, budget + extra - used, dictionary)
                 used += len(block)
                 f.parts.append(block)
             elif c.kind == K.IDIM:
@@ -258,6 +269,10 @@ def opened(content: bytes) -> Opened:
                 dictionary = f.meta.get("dictionary")
         if f.header is None:
             raise K.ContainerError("missing", "header")
+        if last != K.IEND:
+            f.warnings.append("no_end")
+        elif at < len(content):
+            f.warnings.append("trailing")
     except K.ContainerError as e:
         f.fault = e.code
     except codec.LimitExceeded:
@@ -305,6 +320,8 @@ def assemble(f: Opened, raw: bool = False, operator: str = "filmic") -> np.ndarr
     h, grid, parts, palette, hdr = f.header, f.grid, f.parts, f.palette, f.meta.get("hdr")
     if h.color_type == 3 and palette is None:
         raise K.ContainerError("missing", "palette")
+    if h.filter_method == K.BYTE_SHUFFLE and h.bpp not in K.SHUFFLE_BPP:
+        raise K.ContainerError("feature", "byte shuffle of this pixel size")
     try:
         if h.interlace_method:
             owner = pass_map(h.height, h.width, h.interlace_method)
@@ -367,9 +384,10 @@ def display(f: np.ndarray, hdr: K.Hdr, operator: str) -> np.ndarray:
 
 
 def decode(files: DataFrame, raw: bool = False, operator: str = "filmic", mode: str = "PERMISSIVE") -> DataFrame:
-    """img_id, width, height, pixels (RGBA), metadata (JSON text), fault: one row per container (img_id, content).
+    """img_id, width, height, pixels (RGBA), metadata (JSON text), fault, warnings: one row per container (img_id, content).
 
     A file is unpacked within its own budget. A broken one has a fault and no pixels; in mode FAILFAST it is an error.
+    What can be read all the same is in warnings (comma-joined, see Opened); metadata() gives all other metadata.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -378,10 +396,11 @@ def decode(files: DataFrame, raw: bool = False, operator: str = "filmic", mode:
             for img_id, (f, rgba) in zip(b["img_id"], read_containers([bytes(c) for c in b["content"]], raw, operator), strict=True):
                 if f.fault and mode == "FAILFAST":
                     raise K.ContainerError(f.fault)
-                rows.append((img_id, None, None, None, None, f.fault) if f.fault else (img_id, f.header.width, f.header.height, rgba.tobytes(), json.dumps(f.meta["json"]), None))
-            yield pd.DataFrame(rows, columns=["img_id", "width", "height", "pixels", "metadata", "fault"]).astype({"width": "Int64", "height": "Int64"})
+                got = (None, None, None, None) if f.fault else (f.header.width, f.header.height, rgba.tobytes(), json.dumps(f.meta["json"]))
+                rows.append((img_id, *got, f.fault, ",".join(f.warnings)))
+            yield pd.DataFrame(rows, columns=["img_id", "width", "height", "pixels", "metadata", "fault", "warnings"]).astype({"width": "Int64", "height": "Int64"})
 
-    return files.select("img_id", "content").mapInPandas(run, "img_id bigint, width bigint, height bigint, pixels binary, metadata string, fault string")
+    return files.select("img_id", "content").mapInPandas(run, "img_id bigint, width bigint, height bigint, pixels binary, metadata string, fault string, warnings string")
 
 
 def encode_indexed(images: DataFrame, options: EncodeOptions | None = None) -> DataFrame:

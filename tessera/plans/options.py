@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields
 
-from tessera.functions.container import Hdr
+from tessera.functions.container import SHUFFLE_BPP, Hdr, Header
 
 HEURISTICS = ("entropy", "msad", "compression_test", "quick_prune", "adaptive")
 
@@ -38,6 +38,8 @@ class EncodeOptions:
             raise ValueError(f"unknown filter heuristic {self.filter_heuristic}")
         if self.use_byte_shuffle and self.interlace_method:
             raise ValueError("byte shuffle can't go with interlacing")
+        if self.use_byte_shuffle and Header(1, 1, self.depth, self.sample_format, self.target_color_type).bpp not in SHUFFLE_BPP:
+            raise ValueError(f"byte shuffle needs pixels of {SHUFFLE_BPP} bytes")
         if self.interlace_method and (self.target_color_type != 6 or self.sample_format or self.depth != 8):
             raise ValueError("interlacing needs 8-bit RGBA")
         if self.tile_size and (self.interlace_method or self.depth < 8):

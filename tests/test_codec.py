@@ -89,6 +89,38 @@ def test_metadata(spark):
     assert f.meta["json"] == {"camera": {"iso": 100}, "author": "x"}
 
 
+def test_metadata_as_a_table(spark):
+    o = EncodeOptions(exif=b"1234567", icc_profile=b"\xab" * 96, xmp_metadata="<xmp/>", json_metadata={"camera": {"iso": 100}, "author": "x"}, hdr=K.Hdr(1, 2, 5.0))
+    content = one(spark, image(16, 16), o)
+    head = len(K.SIGNATURE) + 9 + 14 + 4
+    early = K.write_chunk("xMPd", 0, b"\xff") + K.write_chunk("iCCP", 1, b"not packed") + K.write_chunk("cHDR", 0, b"short") + K.write_chunk("jSON", 0, b"\x06camera[1]") + K.write_chunk("jSON", 0, b"\xffab") + K.write_chunk("jSON", 0, b"")
+    late = K.write_chunk("eXIF", 0, b"second") + K.write_chunk("jSON", 0, b"\x06camera{") + K.write_chunk("IEND", 0, b"")
+    files = spark.createDataFrame([(1, bytearray(content[:head] + early + content[head:-13] + late)), (2, bytearray(one(spark, image(4, 4)))), (3, bytearray(b""))], "img_id bigint, content binary")
+    got = {(r.img_id, r.kind, r.namespace): bytes(r.data) for r in L.metadata(files).collect()}
+    assert got == {
+        (1, "exif", ""): b"1234567", (1, "icc", ""): b"\xab" * 96, (1, "xmp", ""): b"<xmp/>", (1, "hdr", ""): K.Hdr(1, 2, 5.0).pack(), (1, "json", "camera"): b'{"iso": 100}', (1, "json", "author"): b'"x"',
+    }
+    f, _ = back(bytes(files.first().content))
+    assert (f.meta["exif"], f.meta["xmp"], f.meta["hdr"], f.meta["json"]) == (b"1234567", "<xmp/>", K.Hdr(1, 2, 5.0), {"camera": {"iso": 100}, "author": "x"})
+
+
+def test_warnings(spark):
+    good = one(spark, image(8, 8), EncodeOptions(use_filter=False))
+    head = len(K.SIGNATURE) + 9 + 14 + 4
+    cases = [good, good[:-13], good + b"more", good[:head] + good[len(K.SIGNATURE) : head] + good[head:]]
+    files = spark.createDataFrame([(k, bytearray(c)) for k, c in enumerate(cases)], "img_id bigint, content binary")
+    got = {r.img_id: (r.fault, r.warnings, bytes(r.pixels)) for r in L.decode(files).collect()}
+    assert got == {k: (None, w, image(8, 8).tobytes()) for k, w in enumerate(["", "no_end", "trailing", "second_header"])}
+
+
+def test_byte_shuffle_of_other_pixel_sizes_is_refused():
+    for bad in ({"target_color_type": 2}, {"target_color_type": 0}, {"target_color_type": 2, "target_bit_depth": 16}, {"interlace_method": 1}):
+        with pytest.raises(ValueError, match="byte shuffle"):
+            EncodeOptions(use_byte_shuffle=True, **bad)
+    f, rgba = back(chunked(H(color_type=2, filter_method=1), ("IDAT", 0, b"\x00" * 48), ("IEND", 0, b"")))
+    assert rgba is None and f.fault == "feature"
+
+
 def test_tone_mapping_of_float_files(spark):
     f, got = back(one(spark, image(4, 4), EncodeOptions(sample_format=1, hdr=K.Hdr(0, 0, 1.0, 0.0))))
     assert f.fault is None and got.shape == (4, 4, 4)
