@@ -52,6 +52,48 @@ def cells(tiles: DataFrame, stride: int = STRIDE) -> DataFrame:
     return t.select("img_id", "i", F.floor(F.col("i") / stride).cast("int").alias("y"), (F.col("i") % stride).alias("x"), "v")
 
 
+def strips(c: DataFrame, rows: int) -> DataFrame:
+    """Cells with the strip (`tile`) of so many rows that they are in; the last strip may have fewer."""
+    return c.withColumn("tile", F.floor(F.col("y") / rows).cast("int"))
+
+
+def grid(sizes: DataFrame, width: int, height: int) -> DataFrame:
+    """img_id, tx, ty, tw, th: the tiles of images (img_id, w, h); those at the right and lower edge are smaller."""
+    nx, ny = F.ceil(F.col("w") / width).cast("int"), F.ceil(F.col("h") / height).cast("int")
+    t = sizes.select("img_id", "w", "h", F.explode(F.sequence(F.lit(0), ny - 1)).alias("ty"), nx.alias("nx")).select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("tx"))
+    return t.select("img_id", "tx", "ty", F.least(F.lit(width), F.col("w") - F.col("tx") * width).alias("tw"), F.least(F.lit(height), F.col("h") - F.col("ty") * height).alias("th"))
+
+
+def tiled(c: DataFrame, width: int, height: int) -> DataFrame:
+    """img_id, tx, ty, k, v: every cell with its tile and its place in a whole tile, row by row."""
+    x, y = F.col("x"), F.col("y")
+    return c.select("img_id", F.floor(x / width).cast("int").alias("tx"), F.floor(y / height).cast("int").alias("ty"), ((y % height) * width + x % width).alias("k"), "v")
+
+
+def untiled(t: DataFrame, width: int, height: int) -> DataFrame:
+    """img_id, y, x, v: where the cells of tiles (img_id, tx, ty, k, v) belong in their image."""
+    k = F.col("k")
+    return t.select("img_id", (F.col("ty") * height + F.floor(k / width)).cast("int").alias("y"), (F.col("tx") * width + k % width).cast("int").alias("x"), "v")
+
+
+def halves(c: DataFrame, stride: int = STRIDE) -> DataFrame:
+    """img_id, pass, k, v: cells by the half (even or odd rows) that they are in, and their place in it."""
+    return c.select("img_id", (F.col("y") % 2).alias("pass"), (F.floor(F.col("y") / 2) * stride + F.col("x")).alias("k"), "v")
+
+
+def split_rows(v: Column, stride: int = STRIDE) -> Column:
+    """struct<h, even, odd>: the number of rows of a raster (array<int>), and its even and odd rows as two rasters."""
+    rows = F.floor(F.size(v) / stride).cast("int")
+    of = lambda odd: F.flatten(F.transform(F.filter(F.sequence(F.lit(0), rows - 1), lambda y: y % 2 == odd), lambda y: F.slice(v, y * stride + 1, F.lit(stride))))
+    return F.struct(rows.alias("h"), of(0).alias("even"), of(1).alias("odd"))
+
+
+def joined_rows(h: Column, even: Column, odd: Column, stride: int = STRIDE) -> Column:
+    """The raster of h rows whose halves split_rows() gave."""
+    row = lambda y: F.slice(F.when(y % 2 == 0, even).otherwise(odd), F.shiftright(y, 1) * stride + 1, F.lit(stride))
+    return F.flatten(F.transform(F.sequence(F.lit(0), h - 1), row))
+
+
 def line_pixels(lineitem: DataFrame) -> DataFrame:
     """img_id, i, r, g, b, a: a pixel of many colours per line item."""
     k, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")

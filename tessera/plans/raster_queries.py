@@ -47,34 +47,27 @@ FLOATS = "fl AS (SELECT vec_id AS img_id, CAST(p.p AS INTEGER) AS p, abs(CAST(em
 
 
 def tile_rows(spark, sf_dir):
-    c = raster.cells(tiles(spark, sf_dir))
-    return c.groupBy("img_id", F.floor(F.col("y") / 6).cast("int").alias("tile")).agg(F.countDistinct("y").alias("rows"), F.sum("v").alias("byte_sum"))
+    c = raster.strips(raster.cells(tiles(spark, sf_dir)), 6)
+    return c.groupBy("img_id", "tile").agg(F.countDistinct("y").alias("rows"), F.sum("v").alias("byte_sum"))
 
 
 def tile_grid(spark, sf_dir):
-    g = sizes(spark, sf_dir)
-    nx, ny = F.ceil(F.col("w") / TW).cast("int"), F.ceil(F.col("h") / TH).cast("int")
-    t = g.select("img_id", "w", "h", F.explode(F.sequence(F.lit(0), ny - 1)).alias("ty"), nx.alias("nx")).select("*", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("tx"))
-    return t.select("img_id", "tx", "ty", F.least(F.lit(TW), F.col("w") - F.col("tx") * TW).alias("tw"), F.least(F.lit(TH), F.col("h") - F.col("ty") * TH).alias("th"))
+    return raster.grid(sizes(spark, sf_dir), TW, TH)
 
 
 GRID = SIZES + f", grid AS (SELECT img_id, CAST(x.tx AS INTEGER) AS tx, CAST(y.ty AS INTEGER) AS ty, CAST(least({TW}, w - x.tx * {TW}) AS INTEGER) AS tw, CAST(least({TH}, h - y.ty * {TH}) AS INTEGER) AS th FROM geo, unnest(range(0, (w + {TW - 1}) // {TW})) AS x(tx), unnest(range(0, (h + {TH - 1}) // {TH})) AS y(ty))"
 
 
 def tile_extract(spark, sf_dir):
-    c = raster.cells(tiles(spark, sf_dir))
-    t = c.withColumn("tx", F.floor(F.col("x") / 5).cast("int")).withColumn("ty", F.floor(F.col("y") / 4).cast("int"))
-    within = (F.col("y") % 4) * 5 + F.col("x") % 5 + 1
-    return t.groupBy("img_id", "tx", "ty").agg(F.count("*").alias("n"), F.sum(within * F.col("v")).alias("tile_check"))
+    t = raster.tiled(raster.cells(tiles(spark, sf_dir)), 5, 4)
+    return t.groupBy("img_id", "tx", "ty").agg(F.count("*").alias("n"), F.sum((F.col("k") + 1) * F.col("v")).alias("tile_check"))
 
 
 def tile_reassemble(spark, sf_dir):
     """Cut every raster into tiles, put them together again by place, and check it against the source."""
-    t = tiles(spark, sf_dir)
-    c = raster.cells(t)
-    cut = c.groupBy("img_id", F.floor(F.col("y") / 4).alias("ty"), F.floor(F.col("x") / 5).alias("tx")).agg(F.collect_list(F.struct("y", "x", "v")).alias("tile"))
-    back = cut.select("img_id", F.explode("tile").alias("p")).groupBy("img_id").agg(F.sum(((F.col("p.y") * 16 + F.col("p.x") + 1) * F.col("p.v")).cast("bigint")).alias("byte_check"), F.sum("p.v").alias("byte_sum"))
-    return back
+    cut = raster.tiled(raster.cells(tiles(spark, sf_dir)), 5, 4).groupBy("img_id", "tx", "ty").agg(F.collect_list(F.struct("k", "v")).alias("tile"))
+    back = raster.untiled(cut.select("img_id", "tx", "ty", F.inline("tile")), 5, 4)
+    return back.groupBy("img_id").agg(F.sum(((F.col("y") * raster.STRIDE + F.col("x") + 1) * F.col("v")).cast("bigint")).alias("byte_check"), F.sum("v").alias("byte_sum"))
 
 
 def ordered(key: str):
@@ -139,18 +132,13 @@ PASS = "CASE WHEN x%8=0 AND y%8=0 THEN 1 WHEN x%8=4 AND y%8=0 THEN 2 WHEN x%4=2
 
 
 def evenodd_extract(spark, sf_dir):
-    c = raster.cells(tiles(spark, sf_dir))
-    half = c.select("img_id", (F.col("y") % 2).alias("pass"), (F.floor(F.col("y") / 2) * 16 + F.col("x") + 1).alias("k"), "v")
-    return half.groupBy("img_id", "pass").agg(F.count("*").alias("n"), F.sum(F.col("k") * F.col("v")).alias("pass_check"))
+    half = raster.halves(raster.cells(tiles(spark, sf_dir)))
+    return half.groupBy("img_id", "pass").agg(F.count("*").alias("n"), F.sum((F.col("k") + 1) * F.col("v")).alias("pass_check"))
 
 
 def evenodd_reconstruct(spark, sf_dir):
-    t = tiles(spark, sf_dir)
-    rows = F.floor(F.size("v") / 16).cast("int")
-    row = lambda y: F.slice("v", y * 16 + 1, F.lit(16))
-    every = F.sequence(F.lit(0), rows - 1)
-    split = t.select("img_id", rows.alias("h"), F.flatten(F.transform(F.filter(every, lambda y: y % 2 == 0), row)).alias("even"), F.flatten(F.transform(F.filter(every, lambda y: y % 2 == 1), row)).alias("odd"))
-    back = F.flatten(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.slice(F.when(y % 2 == 0, F.col("even")).otherwise(F.col("odd")), F.shiftright(y, 1) * 16 + 1, F.lit(16))))
+    split = tiles(spark, sf_dir).select("img_id", raster.split_rows(F.col("v")).alias("s")).select("img_id", "s.*")
+    back = raster.joined_rows(F.col("h"), F.col("even"), F.col("odd"))
     return split.select("img_id", back.alias("v")).select("img_id", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("byte_sum"), checksum(F.col("v")).alias("byte_check"))
 
 
