@@ -109,14 +109,8 @@ def adam7_extract(spark, sf_dir):
 
 def adam7_reconstruct(spark, sf_dir):
     """The passes as byte arrays, placed again by their order: sums are those of the source raster."""
-    src = interlaced(spark, sf_dir)
-    passes = src.groupBy("img_id", "pass").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("px")).select("img_id", "pass", F.transform("px", lambda s: s["v"]).alias("data"))
-    # where the k-th byte of a pass belongs follows from the image size alone
-    geo = tiles(spark, sf_dir).select("img_id", F.size("v").alias("n"))
-    grid = geo.select("img_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("img_id", "i", G.interlace_pass(F.col("i") % 16, F.floor(F.col("i") / 16).cast("int")).alias("pass"))
-    places = grid.groupBy("img_id", "pass").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    put = passes.join(places, ["img_id", "pass"]).where(F.size("data") == F.size("at")).select("img_id", F.inline(F.arrays_zip("at", "data")))
-    return put.groupBy("img_id").agg(F.sum("data").alias("byte_sum"), F.sum((F.col("at") + 1).cast("bigint") * F.col("data")).alias("byte_check"))
+    put = tiles(spark, sf_dir).select("img_id", codec.byte_sums(codec.from_passes(codec.passes(F.col("data")))).alias("s"))
+    return put.select("img_id", F.get("s", F.lit(0)).alias("byte_sum"), F.get("s", F.lit(1)).alias("byte_check"))
 
 
 def adam7_dims(spark, sf_dir):
