@@ -10,7 +10,7 @@ from tessera.functions import geometry as G
 from tessera.functions import tonemap as T
 from tessera.operators import codec, raster
 from tessera.operators import quantize as Q
-from tessera.plans.filter_queries import cells_sql, checksum, flat, flat_sql, tiles
+from tessera.plans.filter_queries import cells_sql, checksum, flat, flat_sql, pairs, tiles
 from tessera.plans.tables import table
 
 TW, TH = 64, 48
@@ -95,16 +95,11 @@ def morton_decode(spark, sf_dir):
     return c.select("o_orderkey", G.morton_x(F.col("code")).alias("x"), G.morton_y(F.col("code")).alias("y"))
 
 
-def interlaced(spark, sf_dir):
-    c = raster.cells(tiles(spark, sf_dir))
-    return c.withColumn("pass", G.interlace_pass(F.col("x"), F.col("y")))
-
-
 def adam7_extract(spark, sf_dir):
-    """Bytes of each pass in (y, x) order, one byte per pixel: passes are independent, so each is one sorted array."""
-    p = interlaced(spark, sf_dir).groupBy("img_id", "pass").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("px"))
-    v = F.transform("px", lambda s: s["v"])
-    return p.select("img_id", "pass", F.size("px").alias("n"), checksum(v).alias("pass_check"))
+    """Bytes of each pass in (y, x) order, one byte per pixel: every tile gives its passes where it is, without a shuffle."""
+    p = tiles(spark, sf_dir).select("img_id", codec.pass_sums(codec.passes(F.col("data"))).alias("s"))
+    p = p.select("img_id", pairs(F.col("s"), "pass", "n", "pass_check")).where("n > 0")
+    return p.select("img_id", (F.col("pass") + 1).alias("pass"), F.col("n").cast("int").alias("n"), "pass_check")
 
 
 def adam7_reconstruct(spark, sf_dir):

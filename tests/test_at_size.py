@@ -11,6 +11,10 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
 
 
+def test_passes_are_cut_where_the_tile_is(spark, sf):
+    assert shuffles(R.adam7_extract(spark, sf)) == 0
+
+
 def test_passes_are_put_together_where_the_tile_is(spark, sf):
     assert shuffles(R.adam7_reconstruct(spark, sf)) == 0
 
