@@ -110,27 +110,42 @@ def filter_method(o: EncodeOptions) -> int:
     return K.PREDICTIVE if o.use_filter else K.NO_FILTER
 
 
-def payloads(images: DataFrame, o: EncodeOptions) -> DataFrame:
-    """img_id, width, height, seq, payload: the filtered parts of every image, before compression."""
+def payloads(images: DataFrame, o: EncodeOptions, blocks: bool = False) -> DataFrame:
+    """img_id, width, height, seq, payload: the filtered parts of every image, before compression; with blocks flag and
+    data instead, compressed where they are. A batch is worked on in portions, so that its memory doesn't grow with the images."""
     method = filter_method(o)
 
     heuristic = "adaptive" if o.adaptive_analysis else o.filter_heuristic
     filtered = method == K.PREDICTIVE and not o.interlace_method
 
+    def portion(images: pd.DataFrame) -> pd.DataFrame:
+        rows, parts = [], []
+        for row in images.itertuples(index=False):
+            found = cut(np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, 4), o)
+            rows += [(row.img_id, row.width, row.height, k) for k in range(len(found))]
+            parts += found
+        if filtered:
+            data = codec.grouped(parts, lambda t, stride, bpp: codec.payloads(t, stride, bpp, heuristic, o.level))
+        else:
+            data = [shuffled(d, bpp) if method == K.BYTE_SHUFFLE else d for d, _, bpp in parts]
+        out = pd.DataFrame(rows, columns=["img_id", "width", "height", "seq"])
+        if not blocks:
+            return out.assign(payload=pd.Series(data, dtype=object))
+        packed = codec.compress_all(data, o.level, o.dictionary)
+        return out.assign(flag=pd.Series([f for f, _ in packed], dtype="int32"), data=pd.Series([d for _, d in packed], dtype=object))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, parts = [], []
-            for row in b.itertuples(index=False):
-                found = cut(np.frombuffer(row.pixels, np.uint8).reshape(row.height, row.width, 4), o)
-                rows += [(row.img_id, row.width, row.height, k) for k in range(len(found))]
-                parts += found
-            if filtered:
-                data = codec.grouped(parts, lambda t, stride, bpp: codec.payloads(t, stride, bpp, heuristic, o.level))
-            else:
-                data = [shuffled(d, bpp) if method == K.BYTE_SHUFFLE else d for d, _, bpp in parts]
-            yield pd.DataFrame(rows, columns=["img_id", "width", "height", "seq"]).assign(payload=pd.Series(data, dtype=object))
+            for lo, hi in codec.portions((b["width"] * b["height"] * max(4, sample_bytes(o))).tolist()):
+                yield portion(b.iloc[lo:hi])
+
+    kept = "flag int, data binary" if blocks else "payload binary"
+    return images.select("img_id", "width", "height", "pixels").mapInPandas(run, f"img_id bigint, width int, height int, seq int, {kept}")
 
-    return images.select("img_id", "width", "height", "pixels").mapInPandas(run, "img_id bigint, width int, height int, seq int, payload binary")
+
+def sample_bytes(o: EncodeOptions) -> int:
+    """Bytes of a pixel in the options' colour type, depth and sample format."""
+    return K.Header(1, 1, o.depth, o.sample_format, o.target_color_type).bpp
 
 
 def ancillary(o: EncodeOptions) -> list[tuple[str, bytes, bool]]:
@@ -151,19 +166,19 @@ def ancillary(o: EncodeOptions) -> list[tuple[str, bytes, bool]]:
 def encode(images: DataFrame, options: EncodeOptions | None = None) -> DataFrame:
     """img_id, content: a container for each image (img_id, width, height, RGBA pixels)."""
     o = options or EncodeOptions()
-    parts = payloads(images, o)
-    if o.auto_dictionary and not o.dictionary:
-        dicts = codec.train_dictionaries(parts.withColumnRenamed("payload", "data"))
-        parts = parts.join(dicts, "img_id", "left")
-    else:
-        parts = parts.withColumn("dictionary", F.lit(o.dictionary).cast("binary"))
     level = o.level
 
     def pack(data: pd.Series, dictionary: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([codec.compress(bytes(x), level, None if d is None else bytes(d)) for x, d in zip(data, dictionary, strict=True)], columns=["flag", "data"])
 
-    packed = parts.withColumn("block", _two_column_udf(pack, codec.BLOCK)("payload", "dictionary"))
-    framed = packed.select("img_id", "width", "height", "dictionary", "seq", F.col("block.flag").alias("flag"), K.chunk(F.lit(K.IDAT), F.col("block.flag"), F.col("block.data")).alias("bytes"))
+    if o.auto_dictionary and not o.dictionary:
+        parts = payloads(images, o)
+        dicts = codec.train_dictionaries(parts.withColumnRenamed("payload", "data"))
+        parts = parts.join(dicts, "img_id", "left")
+        packed = parts.withColumn("block", _two_column_udf(pack, codec.BLOCK)("payload", "dictionary")).select("*", "block.*")
+    else:
+        packed = payloads(images, o, blocks=True).withColumn("dictionary", F.lit(o.dictionary).cast("binary"))
+    framed = packed.select("img_id", "width", "height", "dictionary", "seq", "flag", K.chunk(F.lit(K.IDAT), F.col("flag"), F.col("data")).alias("bytes"))
     whole = framed.groupBy("img_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("dictionary").alias("dictionary"), K.compression_bit(F.col("flag")).alias("zstd"), F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("data"))
     extra = [(kind, *codec.compress(data, level)) if may else (kind, 0, data) for kind, data, may in ancillary(o)]
     any_zstd = int(any(f for _, f, _ in extra))
@@ -284,9 +299,13 @@ def opened(content: bytes) -> Opened:
 
 def read_containers(contents: list[bytes], raw: bool = False, operator: str = "filmic") -> list[tuple[Opened, np.ndarray | None]]:
     """Files and their RGBA images; filters are undone for the tiles of all files together."""
-    files = [opened(c) for c in contents]
+    return pictured([opened(c) for c in contents], raw, operator)
+
+
+def pictured(files: list[Opened], raw: bool = False, operator: str = "filmic") -> list[tuple[Opened, np.ndarray | None]]:
+    """Opened files and their RGBA images."""
     todo = [f.filtered() for f in files]
-    undone = iter(codec.grouped([p for parts in todo for p in parts], codec.restored))
+    undone = iter(codec.grouped([p for parts in todo for p in parts], codec.restored, codec.UNDO_BYTES))
     out = []
     for f, parts in zip(files, todo, strict=True):
         image = None
@@ -301,6 +320,20 @@ def read_containers(contents: list[bytes], raw: bool = False, operator: str = "f
     return out
 
 
+def in_portions(ids, contents, most: int | None = None) -> Iterator[list[tuple[int, Opened]]]:
+    """Files (id, opened) in lists that are cut as soon as their unpacked parts reach a bound."""
+    held, used = [], 0
+    for img_id, content in zip(ids, contents, strict=True):
+        f = opened(bytes(content))
+        held.append((img_id, f))
+        used += sum(map(len, f.parts))
+        if used >= (most or codec.PORTION):
+            yield held
+            held, used = [], 0
+    if held:
+        yield held
+
+
 def _metadata(meta: dict, c: K.Chunk) -> None:
     """First valid instance wins; of JSON the last of each namespace."""
     data = codec.decompress(c.flag, c.data)
@@ -392,13 +425,14 @@ def decode(files: DataFrame, raw: bool = False, operator: str = "filmic", mode:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for img_id, (f, rgba) in zip(b["img_id"], read_containers([bytes(c) for c in b["content"]], raw, operator), strict=True):
-                if f.fault and mode == "FAILFAST":
-                    raise K.ContainerError(f.fault)
-                got = (None, None, None, None) if f.fault else (f.header.width, f.header.height, rgba.tobytes(), json.dumps(f.meta["json"]))
-                rows.append((img_id, *got, f.fault, ",".join(f.warnings)))
-            yield pd.DataFrame(rows, columns=["img_id", "width", "height", "pixels", "metadata", "fault", "warnings"]).astype({"width": "Int64", "height": "Int64"})
+            for held in in_portions(b["img_id"], b["content"]):
+                rows = []
+                for (img_id, _), (f, rgba) in zip(held, pictured([f for _, f in held], raw, operator), strict=True):
+                    if f.fault and mode == "FAILFAST":
+                        raise K.ContainerError(f.fault)
+                    got = (None, None, None, None) if f.fault else (f.header.width, f.header.height, rgba.tobytes(), json.dumps(f.meta["json"]))
+                    rows.append((img_id, *got, f.fault, ",".join(f.warnings)))
+                yield pd.DataFrame(rows, columns=["img_id", "width", "height", "pixels", "metadata", "fault", "warnings"]).astype({"width": "Int64", "height": "Int64"})
 
     return files.select("img_id", "content").mapInPandas(run, "img_id bigint, width bigint, height bigint, pixels binary, metadata string, fault string, warnings string")
 

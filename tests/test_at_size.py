@@ -29,3 +29,30 @@ def test_passes_of_tiles_of_many_sizes():
     assert codec.deinterlaced(cut, 16) == tiles
     cut[3][6] = cut[3][6][:-1]
     assert codec.deinterlaced(cut, 16) == [*tiles[:3], None, *tiles[4:]]
+
+
+def test_weighted_filter_is_not_walked_by_bytes(monkeypatch):
+    monkeypatch.setattr(codec, "walked", None, raising=False)
+    tile = np.random.default_rng(2).integers(0, 256, 64 * 4096, dtype=np.uint8).tobytes()
+    assert len(codec.payloads([tile], 4096, 16)[0]) == len(tile) + 1
+
+
+def test_large_tiles_are_not_undone_by_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    tiles = [rng.integers(0, 256, 96 * h, dtype=np.uint8) for h in (50, 1, 64)]
+    for code in range(15):
+        stack = codec.Stack(tiles, 96, 6)
+        left = stack.split(stack.residuals(code))
+        by_bytes = codec.walked(left, code, 96, 6, True)
+        with monkeypatch.context() as m:
+            m.setattr(codec, "walked", None)
+            by_pixels = codec.fold(left, code, 96, 6, True)
+        assert all((a == t).all() and (b == t).all() for a, b, t in zip(by_bytes, by_pixels, tiles, strict=True))
+
+
+def test_weighted_residuals_are_those_of_the_walk():
+    rng = np.random.default_rng(4)
+    for stride, bpp in ((16, 1), (96, 6), (512, 16)):
+        tiles = [np.cumsum(rng.integers(-9, 10, stride * h)).astype(np.uint8) for h in (7, 1, 20)]
+        want = codec.walked(tiles, 15, stride, bpp, False)
+        assert all((a == b).all() for a, b in zip(codec.fold(tiles, 15, stride, bpp, False), want, strict=True))
