@@ -4,11 +4,12 @@
    signatures of MAX_DEPTH minima, each a path of a prefix trie, and a sketch of SKETCH bytes of the minima.
 2. The forest is descended from MAX_DEPTH on. The texts that share a prefix in a tree are a bucket, and a bucket is
    compared by sketches: pairs that look similar (SLACK below the threshold, five standard errors, and of sizes that
-   can reach it) are joined to a representative, the smallest text that they reach in the bucket. A bucket returns a
-   row per text, never pairs. A pair of similarity s meets at depth k with 1 - (1 - s^k)^TREES, so each pair that is
-   seen also tells how many like it are not: from that each text's recall is estimated. Texts under the target recall
-   shorten their prefixes by one, and buckets of that depth are read only where such a text is in them; so on to
-   MIN_DEPTH. If the corpus as a whole is under the target, all texts shorten theirs.
+   can reach it) are joined to a representative, the smallest text that they reach. A task returns a row per text that
+   its buckets hold, never pairs, nor a row for each pair of a large bucket's blocks. A pair of similarity s meets at
+   depth k with 1 - (1 - s^k)^TREES, so each pair that is seen also tells how many like it are not: from that each
+   text's recall is estimated. Texts under the target recall shorten their prefixes by one, and buckets of that depth
+   are read only where such a text is in them; so on to MIN_DEPTH. If the corpus as a whole is under the target, all
+   texts shorten theirs.
 3. The groups of texts joined so are verified exactly: a group's texts are dealt by size band (sizes that can reach the
    threshold are in the same or the next band) into blocks of bounded size, and each pair of blocks is one task that
    counts intersections as a matrix product. It returns for each text its number of links and a representative.
@@ -46,6 +47,8 @@ TREES, MAX_DEPTH, MIN_DEPTH, RECALL = 40, 8, 5, 0.9999
 LEVEL_BYTES, SKETCH, SLACK = 2, 128, 0.19
 #: Bounds of a block: texts and shingles. Size bands grow by a little more than 1 / THRESHOLD.
 BLOCK_TEXTS, BLOCK_SHINGLES, BAND = 128, 400_000, 1.26
+#: So many texts, about, are combined before a task gives their rows: a bound of its memory (32 bytes each).
+GATHERED = 2**20
 #: Components shrink by halves at least; so many rounds are enough for any number of texts.
 MAX_ROUNDS = 64
 #: All bytes but letters, digits and non-ASCII become a space, A-Z become a-z.
@@ -176,12 +179,31 @@ def reached(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def combined(ids: np.ndarray, root: np.ndarray, seen: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A row per text of what many groups say of it: the smallest id that it reaches over their edges (id, root), and the
+    sums of its numbers. The components and the sums of all rows stay what they were."""
+    texts, place = np.unique(np.concatenate([ids, root]), return_inverse=True)
+    i, j = place[: len(ids)], place[len(ids) :]
+    low = np.arange(len(texts))
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        if (low == before).all():
+            break
+    own = np.unique(i)
+    return texts[own], texts[low[own]], np.bincount(i, seen, len(texts))[own], np.bincount(i, every, len(texts))[own]
+
+
 def compared(rows: DataFrame, depth: int, threshold: float, trees: int = TREES) -> DataFrame:
-    """id, root, seen, all: the representative of each text that looks similar to another one in its group, and the
-    estimated numbers of such pairs that meet at this depth and that there are, each pair's share over the trees."""
+    """id, root, seen, all: the representative of each text that looks similar to another one in its groups, and the
+    estimated numbers of such pairs that meet at this depth and that there are, each pair's share over the trees.
+
+    A task combines what its groups say: it gives a row for each text, however many pairs of blocks and trees that is in."""
     cut = threshold - SLACK
 
-    def judge(group: np.ndarray, ids: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    def judge(group: np.ndarray, ids: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
         i, j, like = look_alike(group, side, size, sketch, cut, threshold)
         seen, every = np.zeros(len(ids)), np.zeros(len(ids))
         real = like >= threshold
@@ -191,10 +213,13 @@ def compared(rows: DataFrame, depth: int, threshold: float, trees: int = TREES)
             np.add.at(seen, at, weight * meets(like[real], depth, trees))
         root = reached(ids, i, j)
         hit = np.unique(np.concatenate([i, j]))
-        return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (ids, root, seen, every)], names=["id", "root", "seen", "all"])
+        return ids[hit], root[hit], seen[hit], every[hit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        said, more, size = [], 0, 0  # what groups said: combined rows first, then those of single batches
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["id", "root", "seen", "all"])
+        gather = lambda: combined(*[np.concatenate(x) for x in zip(*said, strict=True)])  # noqa: B023, E731
         for b in batches:
             cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "id", "side", "size")]
             cols.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(b.num_rows, -1))
@@ -203,9 +228,18 @@ def compared(rows: DataFrame, depth: int, threshold: float, trees: int = TREES)
             last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on
             held = [c[last:] for c in cols]
             if last:
-                yield judge(*[c[:last] for c in cols])
+                said.append(judge(*[c[:last] for c in cols]))
+                more += len(said[-1][0])
+            if more > max(size, GATHERED // 8):
+                said = [gather()]
+                more, size = 0, len(said[0][0])
+            if size > GATHERED:
+                yield give(said[0])
+                said, size = [], 0
         if held:
-            yield judge(*held)
+            said.append(judge(*held))
+        if said:
+            yield give(gather())
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "id bigint, root bigint, seen double, all double")
 
