@@ -37,10 +37,9 @@ IMAGES = ROWS + f", im AS (SELECT img_id, CAST(height AS BIGINT) AS height, CAST
 
 
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img_id, width, height, RGBA pixels: an image of every whole text with a gray, opaque pixel for each byte."""
+    """img_id, width, height, pixels: an image of every whole text with a gray, opaque pixel for each byte, as one byte."""
     t = raster.whole_tiles(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), WIDTH, 2**30)
-    pixels = F.unhex(F.regexp_replace(F.hex("data"), "(..)", "$1$1$1FF"))
-    return t.select("img_id", F.lit(WIDTH).alias("width"), (F.octet_length("data") / WIDTH).cast("int").alias("height"), pixels.alias("pixels"))
+    return t.select("img_id", F.lit(WIDTH).alias("width"), (F.octet_length("data") / WIDTH).cast("int").alias("height"), F.col("data").alias("pixels"))
 
 
 _place = f"(4 * (img_id % {TILES} * {WIDTH} + i))"
@@ -52,7 +51,7 @@ def pixel_check(column: str = "pixels"):
 
 
 def decoded(d: DataFrame) -> DataFrame:
-    return d.select("img_id", "height", pixel_check().alias("pixel_check"))
+    return codec.checked(d, ["img_id", "height"], "pixels", "pixel_check")
 
 
 def round_trip(options: EncodeOptions):

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -438,7 +439,8 @@ def decode(files: DataFrame, raw: bool = False, operator: str = "filmic", mode:
 
 
 def encode_indexed(images: DataFrame, options: EncodeOptions | None = None) -> DataFrame:
-    """img_id, content: containers with a palette of at most 256 colours and packed indices."""
+    """img_id, content: containers with a palette of at most 256 colours and packed indices. Pixels are RGBA, or one byte
+    for each gray, opaque pixel, which becomes RGBA only here, a portion of images at a time."""
     o = options or EncodeOptions()
     if o.tile_size or o.use_byte_shuffle or o.interlace_method:
         raise ValueError("an indexed image has neither tiles, passes nor byte shuffle here")
@@ -446,14 +448,29 @@ def encode_indexed(images: DataFrame, options: EncodeOptions | None = None) -> D
 
     heuristic = "adaptive" if o.adaptive_analysis else o.filter_heuristic
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [indexed(np.frombuffer(p, np.uint8).reshape(h, w, 4), o, median) for w, h, p in zip(b["width"], b["height"], b["pixels"], strict=True)]
-            parts = [p for _, _, strips in made for p in strips]
-            data = iter(codec.grouped(parts, lambda t, stride, bpp: codec.payloads(t, stride, bpp, heuristic, o.level)) if o.use_filter else [p[0] for p in parts])
-            yield pd.DataFrame({"img_id": b["img_id"], "content": [indexed_file(h, pal, [next(data) for _ in strips], o.level) for h, pal, strips in made]})
-
-    return images.select("img_id", "width", "height", "pixels").mapInPandas(run, "img_id bigint, content binary")
+    def portion(ids: pa.Array, images: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        made = [indexed(rgba_of(p, w, h), o, median) for w, h, p in images]
+        parts = [p for _, _, strips in made for p in strips]
+        data = iter(codec.grouped(parts, lambda t, stride, bpp: codec.payloads(t, stride, bpp, heuristic, o.level)) if o.use_filter else [p[0] for p in parts])
+        content = [indexed_file(h, pal, [next(data) for _ in strips], o.level) for h, pal, strips in made]
+        return pa.RecordBatch.from_arrays([ids, pa.array(content, pa.binary())], names=["img_id", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # pixels are taken out of the batch in portions
+            ids, w, h = (b.column(c) for c in ("img_id", "width", "height"))
+            for lo, hi in codec.portions([4 * x * y for x, y in zip(w.to_pylist(), h.to_pylist(), strict=True)]):
+                columns = (c.slice(lo, hi - lo).to_pylist() for c in (w, h, b.column("pixels")))
+                yield portion(ids.slice(lo, hi - lo), list(zip(*columns, strict=True)))
+
+    return images.select("img_id", "width", "height", "pixels").mapInArrow(run, "img_id bigint, content binary")
+
+
+def rgba_of(pixels: bytes, width: int, height: int) -> np.ndarray:
+    """(h, w, 4) of RGBA pixels, or of gray ones of a byte each."""
+    if len(pixels) != width * height:
+        return np.frombuffer(pixels, np.uint8).reshape(height, width, 4)
+    gray = np.frombuffer(pixels, np.uint8).reshape(height, width, 1)
+    return np.concatenate([gray, gray, gray, np.full_like(gray, 255)], axis=-1)
 
 
 def indexed(rgba: np.ndarray, o: EncodeOptions, median: bool) -> tuple[K.Header, np.ndarray, list[tuple[bytes, int, int]]]:

@@ -62,3 +62,16 @@ def test_weighted_residuals_are_those_of_the_walk():
 def test_sizes_leave_python_without_residuals(spark, sf):
     plan = filter_queries.compression_test(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1, plan  # residuals of all filters came back as arrays, to be compressed by a second function
+
+
+def test_indexed_images_are_made_in_portions(spark):
+    images = spark.createDataFrame([(k, 16, 16, bytearray(bytes([k, k, k, 255]) * 256)) for k in range(20)], "img_id bigint, width int, height int, pixels binary").coalesce(1)
+    files = L.encode_indexed(images).collect()
+    assert [r.img_id for r in L.decode(L.encode_indexed(images)).orderBy("img_id").collect()] == list(range(20))
+    assert "MapInArrow" in L.encode_indexed(images)._jdf.queryExecution().executedPlan().toString()
+    groups = list(L.in_portions([r.img_id for r in files], [r.content for r in files], 100))
+    assert [len(g) for g in groups] == [4, 4, 4, 4, 4]
+
+
+def test_portions():
+    assert list(codec.portions([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and list(codec.portions([])) == []
