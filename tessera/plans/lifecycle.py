@@ -31,25 +31,36 @@ IMAGES = "img_id bigint, width int, height int, pixels binary"
 # --- samples
 
 
+def shown(f: np.ndarray) -> np.ndarray:
+    """8-bit samples of floats: what is under 0 or no number is 0, what is over 1 is 255."""
+    return (np.fmin(np.fmax(f, np.float32(0)), np.float32(1)) * np.float32(255) + np.float32(0.5)).astype(np.uint8)
+
+
+_LEVELS, _UNIT = np.arange(256), np.arange(256, dtype=np.float32) / np.float32(255)
+#: What each 8-bit sample becomes, by (depth, sample format); and what each IEEE half, read as a big-endian integer, is shown as.
+WIDENED = {(k, K.UINT): (_LEVELS * 257 if k == 16 else _LEVELS * (2**k - 1) // 255).astype(">u2") for k in (10, 12, 16)}
+WIDENED |= {(32, K.UINT): (_LEVELS * 0x01010101).astype(">u4"), (32, K.FLOAT): _UNIT.astype(">f4"), (16, K.HALF): _UNIT.astype(">f2")}
+HALVES = shown(np.arange(2**16, dtype=np.uint16).view(np.float16).astype(np.float32))
+
+
 def to_samples(rgba: np.ndarray, o: EncodeOptions) -> np.ndarray:
     """(h, row bytes) of an (h, w, 4) image in the options' colour type, depth and sample format."""
-    v = rgba.astype(np.int64)
-    gray = (299 * v[..., 0] + 587 * v[..., 1] + 114 * v[..., 2]) // 1000
-    s = {0: [gray], 2: [v[..., 0], v[..., 1], v[..., 2]], 4: [gray, v[..., 3]], 6: [v[..., k] for k in range(4)]}[o.target_color_type]
-    s = np.stack(s, axis=-1).reshape(len(v), -1)
-    d = o.depth
-    if o.sample_format:
-        return (s.astype(np.float32) / np.float32(255)).astype(">f4" if o.sample_format == K.FLOAT else ">f2").view(np.uint8).reshape(len(v), -1)
-    if d < 8:
-        per = 8 // d
-        low = s >> (8 - d)
-        low = np.pad(low, ((0, 0), (0, -low.shape[1] % per))).reshape(len(v), -1, per)
-        return (low << (8 - d * (np.arange(per) + 1))).sum(axis=-1).astype(np.uint8)
+    kind, d, high = o.target_color_type, o.depth, len(rgba)
+    if kind in (0, 4):
+        v = rgba.astype(np.int32)
+        gray = ((299 * v[..., 0] + 587 * v[..., 1] + 114 * v[..., 2]) // 1000).astype(np.uint8)
+        s = gray if kind == 0 else np.stack([gray, rgba[..., 3]], axis=-1)
+    else:
+        s = rgba[..., :3] if kind == 2 else rgba
+    s = np.ascontiguousarray(s).reshape(high, -1)
+    if (d, o.sample_format) in WIDENED:
+        return np.take(WIDENED[d, o.sample_format], s).view(np.uint8).reshape(high, -1)
     if d == 8:
-        return s.astype(np.uint8)
-    if d == 32:
-        return (s * 0x01010101).astype(">u4").view(np.uint8).reshape(len(v), -1)
-    return (s * 257 if d == 16 else s * (2**d - 1) // 255).astype(">u2").view(np.uint8).reshape(len(v), -1)
+        return s
+    per = 8 // d
+    low = s >> (8 - d)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % per))).reshape(high, -1, per)
+    return (low << (8 - d * (np.arange(per) + 1))).sum(axis=-1).astype(np.uint8)
 
 
 def from_samples(data: bytes, h: K.Header, raw: bool = False) -> np.ndarray:
@@ -60,9 +71,10 @@ def from_samples(data: bytes, h: K.Header, raw: bool = False) -> np.ndarray:
         n = 8 // h.bit_depth
         s = ((rows[..., None] >> (8 - h.bit_depth * (np.arange(n) + 1))) & (2**h.bit_depth - 1)).reshape(h.height, -1)[:, : h.width * per]
         s = s if raw or h.color_type == 3 else s * (255 // (2**h.bit_depth - 1))
+    elif h.sample_format == K.FLOAT:
+        s = shown(np.frombuffer(data, ">f4").astype(np.float32))
     elif h.sample_format:
-        f = np.frombuffer(data, ">f4" if h.sample_format == K.FLOAT else ">f2").astype(np.float32).reshape(h.height, -1)
-        s = np.floor(np.clip(np.nan_to_num(f, nan=0.0, posinf=1.0, neginf=0.0), 0, 1) * 255 + 0.5)
+        s = np.take(HALVES, np.frombuffer(data, ">u2"))
     else:
         kind = {8: ">u1", 10: ">u2", 12: ">u2", 16: ">u2", 32: ">u4"}[h.bit_depth]
         s = np.frombuffer(data, kind).reshape(h.height, -1) >> (h.bit_depth - 8)

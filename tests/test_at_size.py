@@ -132,3 +132,30 @@ def test_weighted_residuals_of_odd_shapes():
         tiles = [rng.integers(0, 256, stride * h, dtype=np.uint8) for h in heights]
         want = codec.walked(tiles, 15, stride, bpp, False)
         assert all((a == b).all() for a, b in zip(codec.fold(tiles, 15, stride, bpp, False), want, strict=True))
+
+
+def formats():
+    return [L.EncodeOptions(target_color_type=c, target_bit_depth=d) for c in (0, 2, 4, 6) for d in (8, 10, 12, 16, 32)] + [L.EncodeOptions(sample_format=f) for f in (1, 2)]
+
+
+def test_samples_by_table_are_those_of_the_rule():
+    rgba = np.random.default_rng(7).integers(0, 256, (5, 7, 4), dtype=np.uint8)
+    for o in formats():
+        v = rgba.astype(np.int64)
+        gray = (299 * v[..., 0] + 587 * v[..., 1] + 114 * v[..., 2]) // 1000
+        s = np.stack({0: [gray], 2: [v[..., k] for k in range(3)], 4: [gray, v[..., 3]], 6: [v[..., k] for k in range(4)]}[o.target_color_type], -1).reshape(5, -1)
+        if o.sample_format:
+            want = (s.astype(np.float32) / np.float32(255)).astype(">f4" if o.sample_format == 1 else ">f2")
+        else:
+            want = (s * 0x01010101).astype(">u4") if o.depth == 32 else s.astype(np.uint8) if o.depth == 8 else (s * 257 if o.depth == 16 else s * (2**o.depth - 1) // 255).astype(">u2")
+        assert L.to_samples(rgba, o).tobytes() == want.tobytes(), o
+
+
+def test_halves_are_shown_by_table(monkeypatch):
+    every = np.arange(2**16, dtype=np.uint16).view(np.float16)
+    with np.errstate(invalid="ignore"):
+        f = np.nan_to_num(every.astype(np.float32), nan=0.0, posinf=1.0, neginf=0.0)
+    want = np.floor(np.clip(f, 0, 1) * 255 + 0.5).astype(np.uint8)
+    monkeypatch.setattr(L, "shown", None)  # one look-up a sample
+    got = L.from_samples(every.astype(">f2").tobytes(), L.K.Header(2**14, 1, 16, L.K.HALF, 6))
+    assert (got.ravel() == want).all()
