@@ -5,11 +5,15 @@
 2. The forest is descended from MAX_DEPTH on. The texts that share a prefix in a tree are a bucket, and a bucket is
    compared by sketches: pairs that look similar (SLACK below the threshold, five standard errors, and of sizes that
    can reach it) are joined to a representative, the smallest text that they reach. A task returns a row per text that
-   its buckets hold, never pairs, nor a row for each pair of a large bucket's blocks. A pair of similarity s meets at
-   depth k with 1 - (1 - s^k)^TREES, so each pair that is seen also tells how many like it are not: from that each
-   text's recall is estimated. Texts under the target recall shorten their prefixes by one, and buckets of that depth
-   are read only where such a text is in them; so on to MIN_DEPTH. If the corpus as a whole is under the target, all
-   texts shorten theirs.
+   its buckets hold, never pairs, nor a row for each pair of a large bucket's blocks. In a bucket of more than
+   BLOCK_TEXTS every text is first compared with one of them, the pivot, and is labelled by the smallest pivot that it
+   looks like in any bucket, or that this pivot looks like. Texts of one label are joined already, so only those outside
+   a bucket's most frequent label are compared with all, and the others with a block of their own, whose pairs stand for
+   all of theirs in the recall: rows and comparisons of a large group of near copies grow with its size here, not its
+   square. A pair of similarity s meets at depth k with 1 - (1 - s^k)^TREES, so each pair that is seen also tells how
+   many like it are not: from that each text's recall is estimated. Texts under the target recall shorten their prefixes
+   by one, and buckets of that depth are read only where such a text is in them; so on to MIN_DEPTH. If the corpus as a
+   whole is under the target, all texts shorten theirs.
 3. The groups of texts joined so are verified exactly: a group's texts are dealt by size band (sizes that can reach the
    threshold are in the same or the next band) into blocks of bounded size, and each pair of blocks is one task that
    counts intersections as a matrix product. It returns for each text its number of links and a representative.
@@ -137,8 +141,8 @@ def nodes(texts: DataFrame, depth: int, trees: int = TREES, deepest: int = MAX_D
 
 
 def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """members (id, node, n, ...) once for each pair of blocks of their bucket that they are in: group, side (2 where
-    all pairs count, else pairs of side 0 with side 1)."""
+    """members (id, node, n, ...) once for each pair of blocks of their bucket that they are in: group, side (1 + k where all
+    pairs are compared and each stands for k, else pairs of side 0 with side 1)."""
     nb = F.ceil(F.col("n") / block).cast("int")
     m = members.withColumn("_nb", nb).withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     i = F.col("_i")
@@ -147,6 +151,52 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     return m.select("id", "size", "sketch", "_g.group", "_g.side")
 
 
+def beside_pivot(members: DataFrame, threshold: float) -> DataFrame:
+    """id, root: the texts of large buckets (id, size, sketch, pivot, p_size, p_sketch) that look like their bucket's pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, size, pivot, p_size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "size", "pivot", "p_size"))
+            sketch, p_sketch = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH) for c in ("sketch", "p_sketch"))
+            near = (ids != pivot) & (np.minimum(size, p_size) * 1000 >= round(threshold * 1000) * np.maximum(size, p_size)) & ((sketch == p_sketch).mean(axis=1) >= threshold - SLACK)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[near]), pa.array(pivot[near])], names=["id", "root"])
+
+    return members.mapInArrow(run, "id bigint, root bigint").distinct()
+
+
+def around_label(members: DataFrame, block: int) -> DataFrame:
+    """members (id, node, size, sketch, inner, n_inner, n_outer) of large buckets once for each pair of blocks that they are
+    in: group and side as of in_blocks(). Inner texts, of one label, meet their own block only, which stands for all of
+    theirs, and all outer ones."""
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    m = members.withColumn("_no", blocks("n_outer")).withColumn("_ni", blocks("n_inner"))
+    m = m.withColumn("_i", F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("_ni")).otherwise(F.col("_no"))).cast("int"))
+    i, each = F.col("_i"), lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<group:bigint,side:int>>"))
+    to = lambda kind, x, y, side: F.struct(F.xxhash64("node", x, y, F.lit(kind)).alias("group"), side.cast("int").alias("side"))
+    outer = each("_no", lambda j: to("outer", F.least(i, j), F.greatest(i, j), F.when(i == j, 2).otherwise((i > j).cast("int"))))
+    across = each("_ni", lambda j: to("across", i, j, F.lit(0)))
+    inner = F.concat(each("_no", lambda j: to("across", j, i, F.lit(1))), F.array(to("inner", i, i, F.col("_ni") + 1)))
+    m = m.withColumn("_g", F.explode(F.when(F.col("inner"), inner).otherwise(F.concat(outer, across))))
+    return m.select("id", "size", "sketch", "_g.group", "_g.side")
+
+
+def of_large(members: DataFrame, texts: DataFrame, n_large: int, depth: int, threshold: float, block: int) -> DataFrame:
+    """What compared() says of the buckets of more than a block (members: id, node, n, pivot), by way of their pivots."""
+    t = texts.select("id", "size", "sketch")
+    of_pivot = members.where("id = pivot").select("node", "pivot").join(t.select(F.col("id").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch")), "pivot")
+    pivots = stored(of_pivot.drop("pivot"), "pivots")
+    near = stored(beside_pivot(members.join(t, "id").join(small(pivots, n_large), "node"), threshold), "near")
+    first = stored(near.groupBy("id").agg(F.min("root").alias("label")), "labels")
+    of_label = near.select(F.col("root").alias("id")).distinct().join(first, "id").select(F.col("id").alias("label"), F.col("label").alias("low"))
+    labels = stored(first.join(small(of_label, n_large), "label", "left").select("id", F.least("label", "low").alias("label")), "labels")  # the pivot's own label is as good
+    of_member = members.join(labels, "id", "left").select("id", "node", F.least("id", "label").alias("label"))  # a text that looks like no pivot is alone
+    top = of_member.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
+    major = stored(top.select("node", F.col("top.label").alias("major"), F.col("top.k").alias("n_inner"), (F.col("n") - F.col("top.k")).alias("n_outer")), "majors")
+    labelled = of_member.join(small(major, n_large), "node").withColumn("inner", F.col("label") == F.col("major")).join(t, "id")
+    told = compared(around_label(labelled, block), depth, threshold)
+    return told.unionByName(near.select("id", "root", F.lit(0.0).alias("seen"), F.lit(0.0).alias("all")))
+
+
 def look_alike(group: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np.ndarray, cut: float, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places and estimated similarities of the pairs within groups (rows sorted by group) that look similar."""
     i, j, s = [], [], []
@@ -155,7 +205,7 @@ def look_alike(group: np.ndarray, side: np.ndarray, size: np.ndarray, sketch: np
         if not len(at):
             break
         small_, large = np.minimum(size[at], size[at + d]), np.maximum(size[at], size[at + d])
-        at = at[((side[at] == 2) | (side[at] != side[at + d])) & (small_ * 1000 >= round(threshold * 1000) * large)]
+        at = at[((side[at] >= 2) | (side[at] != side[at + d])) & (small_ * 1000 >= round(threshold * 1000) * large)]
         for k in range(0, len(at), 50_000):
             a = at[k : k + 50_000]
             like = (sketch[a] == sketch[a + d]).sum(axis=1) / sketch.shape[1]
@@ -207,7 +257,7 @@ def compared(rows: DataFrame, depth: int, threshold: float, trees: int = TREES)
         i, j, like = look_alike(group, side, size, sketch, cut, threshold)
         seen, every = np.zeros(len(ids)), np.zeros(len(ids))
         real = like >= threshold
-        weight = 1 / (trees * like[real] ** depth)
+        weight = np.maximum(side[i[real]] - 1, 1) / (trees * like[real] ** depth)
         for at in (i[real], j[real]):
             np.add.at(every, at, weight)
             np.add.at(seen, at, weight * meets(like[real], depth, trees))
@@ -253,9 +303,14 @@ def forest(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         else:
             marked = texts.join(small(open_.withColumn("open", F.lit(True)), n_open), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         at = nodes(marked, depth)
-        buckets = stored(at.groupBy("node").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("node", "n"), "buckets")
-        members = at.select("id", "node").join(buckets, "node").join(texts.select("id", "size", "sketch"), "id")
-        rows = compared(in_blocks(members, block or BLOCK_TEXTS), depth, threshold)
+        buckets = stored(at.groupBy("node").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min("id").alias("pivot")).where("n > 1 and open").select("node", "n", "pivot"), "buckets")
+        members, most = at.select("id", "node").join(buckets, "node"), block or BLOCK_TEXTS
+        n_large = buckets.where(F.col("n") > most).count()
+        if n_large:  # else all members are read once
+            members = stored(members, "bucket-members")
+        rows = compared(in_blocks(members.where(F.col("n") <= most).join(texts.select("id", "size", "sketch"), "id"), most), depth, threshold)
+        if n_large:
+            rows = rows.unionByName(of_large(members.where(F.col("n") > most), texts, n_large, depth, threshold, most))
         edges = stored(rows.groupBy("id", "root").agg(F.sum("seen").alias("seen"), F.sum("all").alias("all")), "edges")
         found.append(edges.select("id", "root"))
         of_text = edges.groupBy("id").agg(F.sum("seen").alias("seen"), F.sum("all").alias("all")).where(F.col("seen") < recall * F.col("all")).select("id")
