@@ -180,19 +180,19 @@ def around_label(members: DataFrame, block: int) -> DataFrame:
     return m.select("id", "size", "sketch", "_g.group", "_g.side")
 
 
-def of_large(members: DataFrame, texts: DataFrame, n_large: int, depth: int, threshold: float, block: int) -> DataFrame:
-    """What compared() says of the buckets of more than a block (members: id, node, n, pivot), by way of their pivots."""
-    t = texts.select("id", "size", "sketch")
-    of_pivot = members.where("id = pivot").select("node", "pivot").join(t.select(F.col("id").alias("pivot"), F.col("size").alias("p_size"), F.col("sketch").alias("p_sketch")), "pivot")
-    pivots = stored(of_pivot.drop("pivot"), "pivots")
-    near = stored(beside_pivot(members.join(t, "id").join(small(pivots, n_large), "node"), threshold), "near")
+def of_large(members: DataFrame, depth: int, threshold: float, block: int) -> DataFrame:
+    """What compared() says of the buckets of more than a block (members: id, node, n, size, sketch), by way of their pivots.
+    Members, with their sketches, meet only tables of a row per bucket or text."""
+    pivots = stored(members.groupBy("node").agg(F.min(F.struct("id", "size", "sketch")).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.size").alias("p_size"), F.col("p.sketch").alias("p_sketch")), "pivots")
+    n_large = pivots.count()
+    near = stored(beside_pivot(members.join(small(pivots, n_large), "node"), threshold), "near")
     first = stored(near.groupBy("id").agg(F.min("root").alias("label")), "labels")
     of_label = near.select(F.col("root").alias("id")).distinct().join(first, "id").select(F.col("id").alias("label"), F.col("label").alias("low"))
     labels = stored(first.join(small(of_label, n_large), "label", "left").select("id", F.least("label", "low").alias("label")), "labels")  # the pivot's own label is as good
-    of_member = members.join(labels, "id", "left").select("id", "node", F.least("id", "label").alias("label"))  # a text that looks like no pivot is alone
+    of_member = members.join(small(labels, labels.count()), "id", "left").withColumn("label", F.least("id", "label"))  # a text that looks like no pivot is alone
     top = of_member.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
     major = stored(top.select("node", F.col("top.label").alias("major"), F.col("top.k").alias("n_inner"), (F.col("n") - F.col("top.k")).alias("n_outer")), "majors")
-    labelled = of_member.join(small(major, n_large), "node").withColumn("inner", F.col("label") == F.col("major")).join(t, "id")
+    labelled = of_member.join(small(major, n_large), "node").withColumn("inner", F.col("label") == F.col("major"))
     told = compared(around_label(labelled, block), depth, threshold)
     return told.unionByName(near.select("id", "root", F.lit(0.0).alias("seen"), F.lit(0.0).alias("all")))
 
@@ -303,14 +303,13 @@ def forest(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
         else:
             marked = texts.join(small(open_.withColumn("open", F.lit(True)), n_open), "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
         at = nodes(marked, depth)
-        buckets = stored(at.groupBy("node").agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min("id").alias("pivot")).where("n > 1 and open").select("node", "n", "pivot"), "buckets")
-        members, most = at.select("id", "node").join(buckets, "node"), block or BLOCK_TEXTS
-        n_large = buckets.where(F.col("n") > most).count()
-        if n_large:  # else all members are read once
+        buckets = stored(at.groupBy("node").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("node", "n"), "buckets")
+        members, most = at.select("id", "node").join(buckets, "node").join(texts.select("id", "size", "sketch"), "id"), block or BLOCK_TEXTS
+        if buckets.where(F.col("n") > most).isEmpty():
+            rows = compared(in_blocks(members, most), depth, threshold)
+        else:
             members = stored(members, "bucket-members")
-        rows = compared(in_blocks(members.where(F.col("n") <= most).join(texts.select("id", "size", "sketch"), "id"), most), depth, threshold)
-        if n_large:
-            rows = rows.unionByName(of_large(members.where(F.col("n") > most), texts, n_large, depth, threshold, most))
+            rows = compared(in_blocks(members.where(F.col("n") <= most), most), depth, threshold).unionByName(of_large(members.where(F.col("n") > most), depth, threshold, most))
         edges = stored(rows.groupBy("id", "root").agg(F.sum("seen").alias("seen"), F.sum("all").alias("all")), "edges")
         found.append(edges.select("id", "root"))
         of_text = edges.groupBy("id").agg(F.sum("seen").alias("seen"), F.sum("all").alias("all")).where(F.col("seen") < recall * F.col("all")).select("id")

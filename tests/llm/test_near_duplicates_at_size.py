@@ -30,7 +30,7 @@ def test_combined_keeps_components_and_sums():
 
 def clusters(spark, sizes, strays, seed=1):
     """Texts (id, size, path, sketch) of a few groups of near copies and some that look like nothing, and their members in
-    nodes, as (id, node, n, pivot)."""
+    nodes, as (id, node, n)."""
     rng = np.random.default_rng(seed)
     texts, kind = [], []
     for c, n in enumerate(sizes):
@@ -45,9 +45,9 @@ def clusters(spark, sizes, strays, seed=1):
     members = []
     for node in range(4):
         at = ids[rng.random(len(ids)) < 0.8]
-        members += [(int(i), node, len(at), int(at.min())) for i in at]
+        members += [(int(i), node, len(at)) for i in at]
     texts = spark.createDataFrame(rows, "id bigint, size int, path binary, sketch binary")
-    return texts, spark.createDataFrame(members, "id bigint, node bigint, n bigint, pivot bigint")
+    return texts, spark.createDataFrame(members, "id bigint, node bigint, n bigint")
 
 
 def parts(rows):
@@ -63,7 +63,7 @@ def test_large_buckets_are_joined_as_by_all_pairs(spark):
     for sizes, strays in (((90,), 0), ((60, 40, 30), 12), ((3, 2), 60)):
         texts, members = clusters(spark, sizes, strays)
         every = N.compared(N.in_blocks(members.join(texts, "id"), 8), 8, 0.8).collect()
-        got = N.of_large(members, texts, 4, 8, 0.8, 8).collect()
+        got = N.of_large(members.join(texts, "id"), 8, 0.8, 8).collect()
         linked = lambda rows: {x: r for x, r in parts(rows).items() if list(parts(rows).values()).count(r) > 1}
         assert linked(got) == linked(every)
         share = lambda rows: sum(r.seen for r in rows) / sum(r["all"] for r in rows)
@@ -72,9 +72,7 @@ def test_large_buckets_are_joined_as_by_all_pairs(spark):
 
 
 def test_pairs_of_equal_texts_are_estimated(spark):
-    texts = bucket(spark, 200).select("id", "size", "sketch")
-    members = bucket(spark, 200).selectExpr("id", "node", "n", "0L AS pivot")
-    got = N.of_large(members, texts, 1, 8, 0.8, 8).collect()
+    got = N.of_large(bucket(spark, 200), 8, 0.8, 8).collect()
     assert parts(got) == dict.fromkeys(range(200), 0)
     assert abs(sum(r["all"] for r in got) * N.TREES / (200 * 199) - 1) < 0.15  # blocks of 8 are dealt by hash
 
